@@ -107,3 +107,37 @@ def filesystem(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def parts(batches, at: int = 1, most: int = 4 << 20):
+    """The record batches, cut where the string column at that place exceeds so many bytes (a longer text stands alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        a, base = 0, 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, base + most, side="right")))
+            yield batch.slice(a, b - a)
+            a, base = b, int(upto[b - 1])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key BIGINT, text STRING, th INT: a row is known by its key and its text's hash, whatever other columns there are."""
+    d = id_and_text(docs)
+    return d.select(key_of(d.doc_id, d.text).alias("key"), d.text, F.hash(d.text).alias("th"))
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the two columns by which keyed() knows a row, and their names, which docs had not."""
+    k, th = fresh(docs, "row_key", "row_hash")
+    doc_id, text = column(docs, "doc_id").cast("long"), column(docs, "text").cast("string")
+    return docs.withColumns({k: key_of(doc_id, text), th: F.hash(text)}), k, th
+
+
+def rows_of(df: DataFrame, more: dict) -> DataFrame:
+    """df's columns by position, with some of them, named in df, replaced."""
+    return df.select(*[more[c].alias(c) if c in more else column(df, c) for c in df.columns])
