@@ -136,8 +136,3 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str, str]:
     k, th = fresh(docs, "row_key", "row_hash")
     doc_id, text = column(docs, "doc_id").cast("long"), column(docs, "text").cast("string")
     return docs.withColumns({k: key_of(doc_id, text), th: F.hash(text)}), k, th
-
-
-def rows_of(df: DataFrame, more: dict) -> DataFrame:
-    """df's columns by position, with some of them, named in df, replaced."""
-    return df.select(*[more[c].alias(c) if c in more else column(df, c) for c in df.columns])
