@@ -106,12 +106,11 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words_of(arr: pa.Array) -> Words:
-    offsets, data = buffers(lowered(arr))
-    start, end = word_bounds(offsets, data)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start[i]:end[i]], for spans in order that don't overlap."""
     out = np.empty(len(start), U)
     i = 0
-    while i < len(start):  # slices end between words, so that memory doesn't follow a long text's length
+    while i < len(start):  # slices end between spans, so that memory doesn't follow a long text's length
         j = max(i + 1, int(np.searchsorted(end, start[i] + _SLICE)))
         a, b = int(start[i]), int(end[j - 1])
         up, down = powers(b - a)
@@ -123,7 +122,13 @@ def words_of(arr: pa.Array) -> Words:
         i = j
     out *= U(2)
     out += (end - start).astype(U) & U(1)
-    return Words(mix(out), start, end, np.searchsorted(start, offsets), offsets, data)
+    return mix(out)
+
+
+def words_of(arr: pa.Array) -> Words:
+    offsets, data = buffers(lowered(arr))
+    start, end = word_bounds(offsets, data)
+    return Words(span_hashes(data, start, end), start, end, np.searchsorted(start, offsets), offsets, data)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
