@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lmscore, packing, simhash, suffix, tokens, toxicity
+from . import decontam, lmscore, packing, shared, sharding, simhash, suffix, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_read(spark, sf_dir, "documents"), shared.scratch(spark, "store"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_sharding": op6_sharding,
     "op4_lm_scores": op4_lm_scores,
     "op1_token_counts": op1_token_counts,
     "op5_packing": op5_packing,
@@ -49,4 +54,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # whatever is merged on the way, the store holds the rows that arrived
+    "op6_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+}
