@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lmscore, packing, shared, sharding, simhash, suffix, tokens, toxicity
+from . import decontam, lmscore, packing, shared, sharding, simhash, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(_read(spark, sf_dir, "pages"), shared.scratch(spark, "warc"))
+    return warc.pages_of(warc.read_warc(spark, files))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.lm_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -44,6 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op6_sharding": op6_sharding,
     "op4_lm_scores": op4_lm_scores,
     "op1_token_counts": op1_token_counts,
@@ -55,6 +61,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # pages written as WARC files, with copies of records in payloads, must come back as they were
+    "op3_warc": "SELECT page_id, url, html FROM pages",
     # whatever is merged on the way, the store holds the rows that arrived
     "op6_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
 }
