@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lmscore, packing, shared, sharding, simhash, suffix, tokens, toxicity, warc
+from . import decontam, lmscore, media, packing, shared, sharding, simhash, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.sniffed(media.media_of_pages(_read(spark, sf_dir, "pages")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(_read(spark, sf_dir, "pages"), shared.scratch(spark, "warc"))
     return warc.pages_of(warc.read_warc(spark, files))
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_media": op2_media,
     "op3_warc": op3_warc,
     "op6_sharding": op6_sharding,
     "op4_lm_scores": op4_lm_scores,
