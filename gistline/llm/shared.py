@@ -1,35 +1,16 @@
-"""What the operators share: the cluster's shared folder, shipping of code to executors, checks of input columns."""
+"""What the operators share: the cluster's shared folder, keys and columns of inputs."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per Spark context, so that Python workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gistline_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="gistline-")  # read by this driver's file server alone
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, "gistline_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in _PACKAGE.rglob("*.py"):
-            z.write(p, f"{_PACKAGE.name}/{p.relative_to(_PACKAGE)}")
-    sc.addPyFile(target)
-    sc._gistline_shipped = True
-
+from ..ship import ship  # noqa: F401
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset, one of our own, in local mode only."""
