@@ -9,10 +9,13 @@ from .terms import chunk_terms, with_df
 
 
 def _scores(ready: DataFrame, keys: list[str], term: Column) -> DataFrame:
-    """keys, scored array<struct<idx, score, chunk>>: the sums of a term over the query's tokens if there is a query, else over all."""
+    """keys, scored array<struct<idx, score, chunk>>: the sums of a term over the query's tokens if there is a query, else over all.
+
+    Scores are rounded to 12 places, as sums of doubles depend on their order and ties must not.
+    """
     t = with_df(chunk_terms(ready, keys), keys)
     counts = F.col("token").isNotNull() & (F.col("in_query") | ~F.col("has_query"))
-    per_chunk = t.groupBy(*keys, "chunk_idx").agg(F.sum(F.when(counts, term).otherwise(0.0)).alias("score"), F.max("chunk").alias("chunk"))
+    per_chunk = t.groupBy(*keys, "chunk_idx").agg(F.round(F.sum(F.when(counts, term).otherwise(0.0)), 12).alias("score"), F.max("chunk").alias("chunk"))
     return per_chunk.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), "score", "chunk"))).alias("scored"))
 
 
