@@ -20,6 +20,7 @@ from . import words
 from .shared import column, keyed, parts, ship, table
 
 DICTIONARY_BYTES, LEVEL, LONGEST = 112_640, 3, 64
+BROADCAST_ROWS = 2_000_000  # domain ids up to this number (some 64 MB as a hash table) go to every task; more are joined by a shuffle
 
 
 def _counts(batches):
@@ -66,6 +67,9 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY_BYTE
     """The domain's dictionary (of documents labelled quality 1) and the general one."""
     ship(docs.sparkSession)
     good = labels.filter(column(labels, "quality") == 1).select(column(labels, "doc_id").cast("long").alias("key")).distinct().withColumn("good", F.lit(True))
+    good = table(good, "domain")
+    if good.count() <= BROADCAST_ROWS:
+        good = F.broadcast(good)
     marked = keyed(docs).join(good, "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_counts, "seg binary, domain long, total long").groupBy("seg").agg(F.sum("domain").alias("domain"), F.sum("total").alias("total"))
     counts = table(counts.filter("total > 1"), "segments")
