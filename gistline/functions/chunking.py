@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import segments, weighted_length
@@ -47,23 +49,33 @@ def chunk_ranges(lengths: Column, most: int, overlap: int = OVERLAP) -> Column:
 
 
 def chunks_of(segs: Column, ranges: Column) -> Column:
-    """array<string>: the chunks' texts, segments joined by blanks; a last one of weighted length under 16 is added to the one before."""
-    texts = F.transform(ranges, lambda r: F.array_join(F.slice(segs, r["a"] + 1, r["b"] - r["a"] + 1), " "))
-    return texts
+    """array<string>: the chunks' texts, segments joined by blanks."""
+    return F.transform(ranges, lambda r: F.array_join(F.slice(segs, r["a"] + 1, r["b"] - r["a"] + 1), " "))
 
 
 def merge_tail(texts: Column) -> Column:
+    """A last chunk of weighted length under SHORT_TAIL is added to the one before."""
     n = F.size(texts)
     short = (n >= 2) & (weighted_length(F.try_element_at(texts, F.lit(-1))) < SHORT_TAIL)
     last = F.concat(F.try_element_at(texts, F.lit(-2)), F.lit(" "), F.try_element_at(texts, F.lit(-1)))
     return F.when(short, F.concat(F.slice(texts, 1, F.greatest(n - 2, F.lit(0))), F.array(last))).otherwise(texts)
 
 
-def with_chunks(df, text: str = "text", most: int = 150, overlap: int = OVERLAP, name: str = "chunks", **how):
-    """df with array<string> chunks of its text. Each step is a projection of its own, so that none is computed twice."""
-    tmp = "__" + name
-    d = df.withColumn(tmp + "_s", segments(F.col(text), most, **how))
-    d = d.withColumn(tmp + "_l", F.transform(tmp + "_s", weighted_length))
-    d = d.withColumn(tmp + "_r", chunk_ranges(F.col(tmp + "_l"), most, overlap))
-    d = d.withColumn(tmp + "_t", chunks_of(F.col(tmp + "_s"), F.col(tmp + "_r")))
-    return d.withColumn(name, merge_tail(F.col(tmp + "_t"))).drop(*(tmp + x for x in ("_s", "_l", "_r", "_t")))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used, and however the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunks(text: Column | str, most: int = 150, overlap: int = OVERLAP, **how) -> Column:
+    """array<string>: the text's chunks; empty for a null or a text without a segment."""
+    pack = lambda segs: let(F.transform(segs, weighted_length), lambda n: let(chunk_ranges(n, most, overlap), lambda r: let(chunks_of(segs, r), merge_tail)))
+    return let(segments(text, most, **how), pack)
+
+
+def with_chunks(df: DataFrame, text: str = "text", most: int = 150, overlap: int = OVERLAP, name: str = "chunks", **how) -> DataFrame:
+    return df.withColumn(name, chunks(F.col(text), most, overlap, **how))
+
+
+def each(array: Column | str) -> Column:
+    """The array, to be exploded. For a bare column the optimizer would add a filter on its size and compute it twice."""
+    return F.filter(array, lambda x: x.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.chunking import each
 from ..functions.text import tokens
 
 
@@ -24,8 +25,8 @@ def chunk_terms(ready: DataFrame, keys: list[str]) -> DataFrame:
     d = ready.select(*keys, "chunks", "chunk_tokens", "query_tokens", "has_query", F.size("chunks").alias("n_chunks"), (sizes / F.size("chunks")).alias("avg_tokens")).repartition(*keys)
     per_chunk = F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c.alias("chunk"), F.get("chunk_tokens", i).alias("ts")))
     d = d.select(*keys, F.explode(per_chunk).alias("c"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
-    each = F.concat(F.array(F.struct(F.col("c.chunk").alias("chunk"), F.lit(None).cast("string").alias("token"))), F.transform("c.ts", lambda t: F.struct(F.lit(None).cast("string").alias("chunk"), t.alias("token"))))
-    d = d.select(*keys, F.col("c.i").alias("chunk_idx"), F.size("c.ts").alias("n_tokens"), F.explode(each).alias("r"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
+    each_ = F.concat(F.array(F.struct(F.col("c.chunk").alias("chunk"), F.lit(None).cast("string").alias("token"))), F.transform("c.ts", lambda t: F.struct(F.lit(None).cast("string").alias("chunk"), t.alias("token"))))
+    d = d.select(*keys, F.col("c.i").alias("chunk_idx"), F.size("c.ts").alias("n_tokens"), F.explode(each_).alias("r"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
     d = d.select(*keys, "chunk_idx", "r.token", "r.chunk", "n_tokens", "n_chunks", "avg_tokens", F.coalesce(F.array_contains("query_tokens", F.col("r.token")), F.lit(False)).alias("in_query"), "has_query")
     return d.groupBy(*keys, "chunk_idx", "token", "chunk", "n_tokens", "n_chunks", "avg_tokens", "in_query", "has_query").agg(F.count("*").alias("tf"))
 
@@ -45,8 +46,8 @@ def mean_tfidf(terms: DataFrame, keys: list[str]) -> DataFrame:
 
 def positions(ready: DataFrame, keys: list[str]) -> DataFrame:
     """keys, chunk_idx, pos (from 1), token."""
-    d = ready.select(*keys, F.posexplode("chunk_tokens").alias("chunk_idx", "ts"))
-    return d.select(*keys, "chunk_idx", F.posexplode("ts").alias("p", "token")).select(*keys, "chunk_idx", (F.col("p") + 1).alias("pos"), "token")
+    d = ready.select(*keys, F.posexplode(each("chunk_tokens")).alias("chunk_idx", "ts"))
+    return d.select(*keys, "chunk_idx", F.posexplode(each("ts")).alias("p", "token")).select(*keys, "chunk_idx", (F.col("p") + 1).alias("pos"), "token")
 
 
 def first_position_weights(ready: DataFrame, keys: list[str], decay: float = 0.95) -> DataFrame:

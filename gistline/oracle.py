@@ -218,10 +218,10 @@ def oracle_sql() -> dict[str, str]:
         "compress_bm25": _compress_sql(score_ctes(full, _BM25, True), "(SELECT * FROM ranks WHERE rk <= 5)"),
         "compress_tfidf": _compress_sql(score_ctes(full, _TFIDF, True), f"(SELECT * FROM {_STOPPED} WHERE used <= 2048)"),
         "compress_both_ways": both,
-        "cooc_edges": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES} SELECT doc_id, src, dst, round(weight, 6) AS weight FROM edges",
-        "position_weights_first": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p) * pow(0.95::DOUBLE, min(p) - 1), 6) AS weight FROM pos GROUP BY 1, 2, 3",
-        "position_weights_each": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p * pow(0.95::DOUBLE, p - 1)), 6) AS weight FROM pos GROUP BY 1, 2, 3",
-        "tfidf_mean": toks + ", raw_ AS (SELECT doc_id, idx, token, s.n, tf * (ln((1 + s.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token) JOIN stat s USING (doc_id)), unit AS (SELECT doc_id, token, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM raw_) SELECT doc_id, token, round(sum(u) / any_value(n), 6) AS weight FROM unit GROUP BY 1, 2",
+        "cooc_edges": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES} SELECT doc_id, src, dst, round(weight, 9) AS weight FROM edges",
+        "position_weights_first": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p) * pow(0.95::DOUBLE, min(p) - 1), 9) AS weight FROM pos GROUP BY 1, 2, 3",
+        "position_weights_each": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p * pow(0.95::DOUBLE, p - 1)), 9) AS weight FROM pos GROUP BY 1, 2, 3",
+        "tfidf_mean": toks + ", raw_ AS (SELECT doc_id, idx, token, s.n, tf * (ln((1 + s.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token) JOIN stat s USING (doc_id)), unit AS (SELECT doc_id, token, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM raw_) SELECT doc_id, token, round(sum(u) / any_value(n), 9) AS weight FROM unit GROUP BY 1, 2",
         "pagerank_fixed": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES}{_rank_rounds(3)} SELECT doc_id, token, round(rank, 8) AS rank FROM r3",
         "embedding_dot": f"SELECT a.vec_id, round({cos}, 4) AS dot {near}",
         "embedding_cosine": f"SELECT a.vec_id, round({cos} / ({norm('a')} * {norm('b')}), 4) AS cosine {near}",

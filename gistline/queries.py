@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import text as T
-from .functions.chunking import with_chunks
+from .functions.chunking import each, with_chunks
 from .functions.instrument import usage
 from .functions.stopwords import ENGLISH
 from .operators import graph, selection, terms
@@ -39,7 +38,7 @@ def _ready(spark, sf_dir, method="bm25") -> DataFrame:
 
 
 def _rows(scored_: DataFrame) -> DataFrame:
-    return scored_.select("doc_id", F.explode("scored").alias("c")).select("doc_id", F.col("c.idx").alias("chunk_idx"), F.round("c.score", 6).alias("score"))
+    return scored_.select("doc_id", F.explode(each("scored")).alias("c")).select("doc_id", F.col("c.idx").alias("chunk_idx"), F.round("c.score", 6).alias("score"))
 
 
 def sentence_split(spark, sf_dir):
@@ -67,11 +66,11 @@ def pdf_clean(spark, sf_dir):
 
 
 def chunk_pack(spark, sf_dir):
-    return with_chunks(_docs(spark, sf_dir), most=SMALL).select("doc_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
+    return with_chunks(_docs(spark, sf_dir), most=SMALL).select("doc_id", F.posexplode(each("chunks")).alias("chunk_idx", "chunk"))
 
 
 def chunk_pack_full(spark, sf_dir):
-    return with_chunks(_docs(spark, sf_dir), most=FULL).select("doc_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
+    return with_chunks(_docs(spark, sf_dir), most=FULL).select("doc_id", F.posexplode(each("chunks")).alias("chunk_idx", "chunk"))
 
 
 def chunk_counts(spark, sf_dir):
@@ -120,7 +119,7 @@ def document_frequency(spark, sf_dir):
 
 
 def chunk_length_mean(spark, sf_dir):
-    t = _ready(spark, sf_dir).select("doc_id", F.explode("chunk_tokens").alias("ts"))
+    t = _ready(spark, sf_dir).select("doc_id", F.explode(each("chunk_tokens")).alias("ts"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.size("ts")), 6).alias("avg_tokens"))
 
 
@@ -131,7 +130,7 @@ def vocabulary(spark, sf_dir):
 def query_overlap(spark, sf_dir):
     """Distinct tokens that a chunk shares with its document's query."""
     d = chunked(_asked(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL), "query")
-    return d.select("doc_id", F.posexplode("chunk_tokens").alias("chunk_idx", "ts"), "query_tokens").select("doc_id", "chunk_idx", F.size(F.array_intersect("ts", "query_tokens")).alias("shared"))
+    return d.select("doc_id", F.posexplode(each("chunk_tokens")).alias("chunk_idx", "ts"), "query_tokens").select("doc_id", "chunk_idx", F.size(F.array_intersect("ts", "query_tokens")).alias("shared"))
 
 
 def bm25_query(spark, sf_dir):
@@ -182,19 +181,19 @@ def compress_both_ways(spark, sf_dir):
 
 
 def cooc_edges(spark, sf_dir):
-    return terms.cooccurrence(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 6))
+    return terms.cooccurrence(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
 
 
 def position_weights_first(spark, sf_dir):
-    return terms.first_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 6))
+    return terms.first_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
 
 
 def position_weights_each(spark, sf_dir):
-    return terms.each_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 6))
+    return terms.each_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
 
 
 def tfidf_mean(spark, sf_dir):
-    return terms.mean_tfidf(terms.chunk_terms(_ready(spark, sf_dir), KEY), KEY).withColumn("weight", F.round("weight", 6))
+    return terms.mean_tfidf(terms.chunk_terms(_ready(spark, sf_dir), KEY), KEY).withColumn("weight", F.round("weight", 9))
 
 
 def pagerank_fixed(spark, sf_dir):
