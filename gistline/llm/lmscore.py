@@ -51,14 +51,25 @@ def _counts(batches):
 
 
 def _dictionary(counts: DataFrame, by: str, other: str, share: float, size: int) -> bytes:
-    """The segments that save most, up to that size; ties go to the lesser segment. share: all occurrences by the other's."""
+    """The segments that save most, up to that size; ties go to the lesser segment. share: all occurrences by the other's.
+
+    Bytes by bins of the logarithm of what is saved tell from where on a segment can be among them; only those reach the driver.
+    """
     saves = F.col(by) * (F.length("seg") - 1) * F.log((F.col(by) + 0.5) / (F.col(other) + 0.5) / share)
-    best = counts.filter((F.col(by) > 1) & (F.length("seg") > 2) & (saves > 0)).orderBy(saves.desc(), "seg").limit(size // 3).select("seg").toPandas().seg
+    good = counts.filter((F.col(by) > 1) & (F.length("seg") > 2)).select("seg", saves.alias("saves")).filter("saves > 0").withColumn("bin", F.floor(F.log("saves") * 64))
+    least, room = None, size
+    for r in good.groupBy("bin").agg(F.sum(F.length("seg")).alias("n")).orderBy(F.desc("bin")).collect():
+        least, room = r.bin, room - r.n
+        if room <= 0:
+            break
+    if least is None:
+        return b""
+    best = sorted((-r.saves, bytes(r.seg)) for r in good.filter(F.col("bin") >= least).collect())
     out, room = [], size
-    for seg in best:
+    for _, seg in best:
         if len(seg) > room:
             break
-        out.append(bytes(seg))
+        out.append(seg)
         room -= len(seg)
     return b"".join(reversed(out))
 
