@@ -20,10 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from . import words
-from .shared import keyed, parts, scratch, ship, table, with_key
+from .shared import column, fresh, keyed, parts, ship, table, with_key
 
 U = np.uint64
 LEAST, SEED, SHARD = 50, 20, (1 << 20) - (1 << 14)
@@ -295,6 +296,10 @@ def _merge(least: int):
         start, doc, th = t.column("start").to_numpy(), t.column("doc").to_numpy(), t.column("th").to_numpy()
         s, k = start[row[at]] + shift[at], start[row[to]] + shift[to]
         d, h, kd = doc[row[at]], th[row[at]], doc[row[to]]
+        other = (d != kd) | (s != k) | (h != th[row[to]])  # a row repeated in another shard is the same document
+        if not other.any():
+            return
+        at, s, k, d, h, kd = (x[other] for x in (at, s, k, d, h, kd))
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(s) != 1) | (np.diff(k) != 1) | (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (kd[1:] != kd[:-1])
         a = np.flatnonzero(new)
@@ -370,15 +375,13 @@ def cut_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = table(spans(docs, least), "repeats")
     each = found.groupBy("key", "th").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + F.col("n")).alias("stops"))
     d, k, th = with_key(docs)
-    each = each.select(F.col("key").alias(k), F.col("th").alias(th), F.col("starts").alias("starts_" + k), F.col("stops").alias("stops_" + k))
-    joined = d.join(each, [k, th], "left")
-    uri = scratch(spark, "marked")
-    joined = table(joined.drop(k, th), "marked", uri)
-    some = F.col("starts_" + k).isNotNull()
-    same = joined.filter(~some).select(*[joined[c] for c in joined.columns[: len(docs.columns)]])
+    starts, stops = fresh(d, "starts", "stops")
+    each = each.select(F.col("key").alias(k), F.col("th").alias(th), F.col("starts").alias(starts), F.col("stops").alias(stops))
+    joined = table(d.join(each, [k, th], "left").drop(k, th), "marked")
+    some = F.col(starts).isNotNull()
+    same = joined.filter(~some).select(*[column(joined, c) for c in docs.columns])
     text = next(c for c in docs.columns if c.lower() == "text")
-    rest = [c for c in docs.columns if c != text]
-    slim = joined.filter(some).select(F.col(text).cast("string").alias("text"), "starts_" + k, "stops_" + k, F.struct(*[joined[c] for c in rest]).alias("rest"))
-    cut = slim.mapInArrow(_cut, f"text string, rest {slim.schema['rest'].dataType.simpleString()}").filter("text is not null")
-    cut = cut.select(*[(cut["text"].alias(c) if c == text else F.length("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col("rest").getField(c).alias(c)) for c in docs.columns])
-    return same.unionByName(cut)
+    slim = joined.filter(some).select(F.col(text).cast("string").alias("text"), starts, stops, F.struct(*[column(joined, c) for c in docs.columns if c != text]).alias("rest"))
+    cut = slim.mapInArrow(_cut, StructType().add("text", "string").add("rest", slim.schema["rest"].dataType)).filter("text is not null")
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return same.unionByName(cut.select(*[(new[c.lower()].cast(docs.schema[c].dataType) if c.lower() in new else F.col("rest").getField(c)).alias(c) for c in docs.columns]))
