@@ -13,6 +13,7 @@ from .operators import graph, selection, terms
 from .operators.running import running_total
 from .plans.compress import DEDICATED, Options, assembled, chunked, compress, compress_both, scored
 from .sources.files import tokens_without, with_parts
+from .sources.tables import spread
 
 SMALL, FULL = 20, 150  # chunk lengths: many chunks, and the production setting
 KEY = ["doc_id"]
@@ -23,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _asked(spark, sf_dir) -> DataFrame:
