@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
 from . import decontam, lmscore, media, packing, shared, sharding, simhash, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
