@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .terms import chunk_terms, with_df
 
 
+K1, B = 1.5, 0.75  # how soon repeats stop counting, how much length counts
+
+
 def _scores(ready: DataFrame, keys: list[str], term: Column) -> DataFrame:
     """keys, scored array<struct<idx, score, chunk>>: the sums of a term over the query's tokens if there is a query, else over all.
 
@@ -19,7 +22,7 @@ def _scores(ready: DataFrame, keys: list[str], term: Column) -> DataFrame:
     return per_chunk.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), "score", "chunk"))).alias("scored"))
 
 
-def bm25(ready: DataFrame, keys: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(ready: DataFrame, keys: list[str], k1: float = K1, b: float = B) -> DataFrame:
     n, df, tf = F.col("n_chunks"), F.col("df"), F.col("tf")
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     norm = 1 - b + b * F.col("n_tokens") / F.col("avg_tokens")

@@ -104,11 +104,11 @@ def export_results(df: DataFrame, path: str) -> None:
     import json
 
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    with Path(path).open("w", encoding="utf-8") as sink:
+        sink.write("[")
         for i, row in enumerate(df.toLocalIterator()):
-            f.write((",\n" if i else "\n") + json.dumps([row.asDict(True)], ensure_ascii=False, indent=4))
-        f.write("\n]\n")
+            sink.write((",\n" if i else "\n") + json.dumps([row.asDict(True)], ensure_ascii=False, indent=4))
+        sink.write("\n]\n")
 
 
 def write_html(df: DataFrame, path: str, column: str = "html") -> None:
