@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 The features of a document are its hits in two lexicons and their densities, second-person words near hits and in all,
-capitals, words in capitals, punctuation, exclamation marks, letters replaced by signs, lexicon words so disguised, and its
-length. One lexicon is a parameter; the other, of word beginnings (4 to 10 bytes), is learned from labels.
+capitals, words in capitals, punctuation, exclamation marks, letters replaced by signs (runs of signs inside words and at
+their starts), lexicon words so disguised, at their ends too, and its length. One lexicon is a parameter; the other, of word beginnings (4 to 10 bytes), is learned from labels.
 Both it and the trees are fitted on at most `max_rows` labelled documents, those whose doc_id hashes lowest (a documented
 bound). By another hash, three eighths of them teach the lexicon, as many the trees, a quarter the calibration.
 Every document is scored.
@@ -38,13 +38,61 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
-_MIXED = re.compile(rb"[^\s,.;:?()\"]*[A-Za-z\x80-\xff][013457@$!*+]+[A-Za-z\x80-\xff][^\s,.;:?()\"]*")
+_TOKEN = _SIGN | _LETTER
+_TOKEN[list(b"0123456789")] = True
+_EDGE = b"!*+$@"
 
 
 def _disguise(lexicon: tuple[str, ...]) -> tuple[set[bytes], re.Pattern]:
     plain = {w.encode() for w in lexicon}
     masked = "|".join("".join(f"(?:{re.escape(c)}|\\*)" for c in w) for w in lexicon if len(w) > 3)
-    return plain, re.compile(f"(?:{masked})".encode())
+    return plain, re.compile(f"(?:{masked or '(?!)'})".encode())
+
+
+def _disguised(token: bytes, plain: set[bytes], masked: re.Pattern, longest: int) -> bool:
+    """Whether signs in the token stand for letters of a lexicon word; those at its edges may also be its punctuation."""
+    if token[:1] == token[-1:] == b"*":  # emphasis
+        token = token.strip(b"*")
+    lead, tail = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
+    for i in range(max(0, tail - longest), lead + 1):
+        for j in range(tail, min(len(token), i + longest) + 1):
+            t = token[i:j]
+            if (u := t.translate(_LEET)) in plain and u != t or b"*" in t and masked.fullmatch(u):
+                return True
+    return False
+
+
+def disguises(w: words.Words, lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document, the signs in runs before a letter, inside words and at their starts, and the lexicon words so disguised.
+
+    Signs at a word's end are mostly punctuation: they aren't among the signs, but the words that they disguise are found.
+    """
+    n = len(w.offsets) - 1
+    sign = np.flatnonzero(_SIGN[w.data])
+    doc = np.searchsorted(w.offsets, sign, side="right") - 1
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(sign) > 1) | (np.diff(doc) > 0)])) if len(sign) else sign
+    doc, start, size = doc[heads], sign[heads], np.diff(np.append(heads, len(sign)))
+    end, low, high = start + size, w.offsets[doc], w.offsets[doc + 1]
+    open_, shut = start > low, end < high
+    before, after = w.data[start - open_], w.data[end - ~shut]  # a sign, at the document's edges
+    beyond = shut & _LETTER[after]
+    signs = np.bincount(doc, size * (beyond & (~open_ | _LETTER[before] | ~_TOKEN[before])), minlength=n)
+    beside = beyond | open_ & _LETTER[before]
+    doc, start, low, high = doc[beside], start[beside], low[beside], high[beside]
+    breaks = np.concatenate([[-1], np.flatnonzero(~_TOKEN[w.data]), [len(w.data)]])
+    at = np.searchsorted(breaks, start)
+    first, once = np.unique(np.maximum(breaks[at - 1] + 1, low), return_index=True)
+    last, doc = np.minimum(breaks[at], high)[once], doc[once]
+    found, known = np.zeros(n), {}
+    plain, masked = _disguise(lexicon)
+    longest = max(map(len, plain), default=0)
+    for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist()):
+        token = w.data[a:b].tobytes()
+        if len(token.strip(_EDGE)) <= longest:
+            if token not in known:
+                known[token] = _disguised(token, plain, masked, longest)
+            found[d] += known[token]
+    return signs, found
 
 
 class Stems(NamedTuple):
@@ -111,16 +159,7 @@ def features(texts: pa.Array, stems: Stems = NO_STEMS, lexicon: tuple[str, ...]
         upto = np.concatenate([[0], np.cumsum(flags)])
         return upto[w.offsets[1:]] - upto[w.offsets[:-1]]
 
-    inner = np.zeros(len(raw), bool)
-    if len(raw) > 2:
-        inner[1:-1] = _SIGN[raw[1:-1]] & _LETTER[raw[:-2]] & _LETTER[raw[2:]]
-    disguised = per_doc(inner)
-    found = np.zeros(n)
-    plain, masked = _disguise(lexicon)
-    for d in np.flatnonzero(disguised):
-        for m in _MIXED.finditer(raw[w.offsets[d] : w.offsets[d + 1]].tobytes()):
-            token = m[0].lower().strip(b"!*+$@")
-            found[d] += token.translate(_LEET) in plain or bool(b"*" in token and masked.fullmatch(token.translate(_LEET)))
+    disguised, found = disguises(w, lexicon)
     hits, begun = np.bincount(doc[hit], minlength=n), np.bincount(doc[stem], minlength=n)
     all_ = [
         np.minimum(hits, 50), hits / count, np.minimum(begun, 50), begun / count, np.minimum(np.bincount(doc[at], near, minlength=n), 50), np.bincount(doc[you], minlength=n) / count, per_doc((raw >= 65) & (raw <= 90)) / size,

@@ -226,6 +226,21 @@ def test_held_out_accuracy(docs, labels):
     assert sum(got[i] and not y[i] for i in held) <= 3
 
 
+def test_disguises():
+    def found(texts):
+        return toxicity.features(pa.array(texts))[:, [toxicity.FEATURES.index("disguised"), toxicity.FEATURES.index("disguised_hits")]]
+
+    bad = "id10t f**k b**ch a$$hole $hit @sshole 1diot id1ot st*pid ID10T '1diot' “f**k” $hit! **f**k** !!a$$hole!!".split()
+    got = found([f"you {t} there" for t in bad] + bad)
+    assert (got[:, 0] > 0).all() and (got[:, 1] == 1).all()
+    ends = found(["what a dumba$$", "f*** off", "a dumba$$!!! yes"])
+    assert (ends[:, 1] == 1).all()
+    assert (found(["idiot!", "*idiot*", "a**b 20th C++", "*hit*", "**", None, "", "$", "20 $ 5"])[:, 1] == 0).all()
+    assert (found(["clear", "$hit 1diot", "x", "0", "a", "so i", "d10t"])[:, 1] == [0, 2, 0, 0, 0, 0, 0]).all()
+    assert found(["the id", "10t"]).tolist() == [[0, 0], [2, 0]]  # not across documents
+    assert found(["1diot" * 100_000, "a+" * 200_000]).tolist()[0][1] == 0
+
+
 def test_learned_stems():
     w = words.words_of(pa.array(["grolbing the grol GROLBS", None, "x"]))
     rows = np.array([0])
