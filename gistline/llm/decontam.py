@@ -3,7 +3,10 @@
 A mask names the word positions of a window that count; the others may hold any word. Every window of the training
 documents and of the benchmark items is hashed under each mask, and equal hashes join them. Around a hit, item and document
 are compared word by word on the hit's diagonal: an overlap is the stretch of greatest score (a match 1, a substitution
--PENALTY), and counts if it has LEAST matching words, or all of a shorter item's.
+-PENALTY), and counts if it has LEAST matching words, or all of a shorter item's. An item of which ALIKE of all words match
+on the diagonal counts as well, from its first match to its last; at least CERTAIN words have to, as many as a mask holds.
+Such copies are all found, at any length: of an item's pieces of PIECE words, one more than there may be substitutions are
+sought, so that one of them is whole.
 
 The benchmark's hashes go to every task in slices of at most `slice_words` words; a larger benchmark takes several scans.
 """
@@ -21,6 +24,9 @@ from .shared import column, keyed, parts, ship, table, with_key
 U = np.uint64
 MASKS = ("11101101011", "1101110010111", "111010011000111", "1100101101000001011")
 LEAST, PENALTY = 12, 3
+ALIKE, CERTAIN, PIECE = 0.75, 8, 3
+_PIECES = -1  # where the pieces stand among the masks
+_MOST = 1 << 18
 _ODD = (np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 62, 64, dtype=np.uint64) << U(1)) | U(1)
 
 
@@ -49,6 +55,13 @@ class Index:
         self.short = sorted({int(n) for n in size if 0 < n < shortest})
         for n in self.short:  # an item shorter than every mask is sought whole
             found.append((len(MASKS) + n, *self._windows("1" * n, len(MASKS) + n, size == n)))
+        self.need = np.maximum(np.ceil(ALIKE * size), np.minimum(size, CERTAIN)).astype(np.int64)
+        spare = size - self.need
+        h, at = self._windows("1" * PIECE, len(MASKS) + PIECE, spare > 0)
+        doc = words.document_of(w.splits)[at]
+        piece, rest = np.divmod(at - w.splits[doc], PIECE)
+        sought = (rest == 0) & (piece <= spare[doc])
+        found.append((_PIECES, h[sought], at[sought]))
         self.hashes = {}
         for m, h, at in found:
             order = np.argsort(h, kind="stable")
@@ -66,30 +79,63 @@ class Index:
             ok &= only[doc[at]]
         return words.mix(h[ok]), at[ok]
 
+    def _meets(self, w: words.Words, m: int):
+        """Places in the batch's words and the items', a bounded number at once, where windows have the same hash."""
+        known, at, sieve = self.hashes[m]
+        mask = MASKS[m] if 0 <= m < len(MASKS) else "1" * (PIECE if m == _PIECES else m - len(MASKS))
+        if not len(known) or len(w.hash) < len(mask):
+            return
+        h = words.mix(spaced_hashes(w.hash, mask, len(MASKS) + PIECE if m == _PIECES else m))
+        some = np.flatnonzero(sieve[h >> U(44)])
+        a, b = np.searchsorted(known, h[some]), np.searchsorted(known, h[some], side="right")
+        some, a, b = some[b > a], a[b > a], b[b > a]
+        upto, i = np.concatenate([[0], np.cumsum(b - a)]), 0
+        doc = words.document_of(w.splits)
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + _MOST, side="right")) - 1)
+            n = (b - a)[i:j]
+            p = np.repeat(some[i:j], n)
+            q = at[np.repeat(a[i:j], n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
+            ok = doc[p] == doc[p + len(mask) - 1]
+            yield p[ok], q[ok]
+            i = j
+
+    def _alike(self, w: words.Words, rows: np.ndarray) -> np.ndarray:
+        """Those rows of hits() whose diagonal has the matches that the item needs."""
+        if not len(w.hash):
+            return rows[:0]
+        live, missed, k = np.arange(len(rows)), np.zeros(len(rows), np.int64), 0
+        size, kept = np.diff(self.splits), []
+        doc, item, base = rows.T
+        while len(live):
+            at = base[live] + k
+            inside = (at >= w.splits[doc[live]]) & (at < w.splits[doc[live] + 1])
+            missed += ~(inside & (w.hash[np.clip(at, 0, len(w.hash) - 1)] == self.words[self.splits[item[live]] + k]))
+            k += 1
+            ok = missed <= (size - self.need)[item[live]]
+            done = ok & (size[item[live]] == k)
+            kept.append(live[done])
+            live, missed = live[ok & ~done], missed[ok & ~done]
+        return rows[np.concatenate(kept)] if kept else rows
+
     def hits(self, w: words.Words) -> np.ndarray:
         """Rows (document, item, item's first word's place among the batch's words), each once."""
         doc, found = words.document_of(w.splits), []
-        for m, (known, at, sieve) in self.hashes.items():
-            mask = MASKS[m] if m < len(MASKS) else "1" * (m - len(MASKS))
-            if not len(known) or len(w.hash) < len(mask):
-                continue
-            h = words.mix(spaced_hashes(w.hash, mask, m))
-            some = np.flatnonzero(sieve[h >> U(44)])
-            a, b = np.searchsorted(known, h[some]), np.searchsorted(known, h[some], side="right")
-            n = b - a
-            p = np.repeat(some, n)
-            q = at[np.repeat(a, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
-            ok = doc[p] == doc[p + len(mask) - 1]
-            p, q = p[ok], q[ok]
-            item = self.doc[q]
-            found.append(np.stack([doc[p], item, p - (q - self.splits[item])], 1))
+        for m in self.hashes:
+            for p, q in self._meets(w, m):
+                item = self.doc[q]
+                rows = np.stack([doc[p], item, p - (q - self.splits[item])], 1)
+                found.append(self._alike(w, rows) if m == _PIECES else rows)
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def overlap(self, w: words.Words, doc: int, item: int, base: int, least: int) -> tuple[int, int, int] | None:
-        """First word in the document, words and matches of the best stretch on a diagonal, if it has matches enough."""
+        """First word in the document, words and matches of the diagonal or its best stretch, if that has matches enough."""
         x = self.words[self.splits[item] : self.splits[item + 1]]
         a, b = max(base, int(w.splits[doc])), min(base + len(x), int(w.splits[doc + 1]))
         same = w.hash[a:b] == x[a - base : b - base]
+        if (n := int(same.sum())) >= self.need[item]:
+            s, e = int(same.argmax()), len(same) - int(same[::-1].argmax())
+            return a - int(w.splits[doc]) + s, e - s, n
         upto = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
         low = np.minimum.accumulate(upto)
         e = int((upto - low).argmax())

@@ -189,6 +189,28 @@ def test_substitutions_against_brute_force(spark, docs):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_short_items_with_substitutions(spark, docs):
+    r = random.Random(4)
+    items, texts, want = [], [], {}
+    for n in (9, 10, 11, 12, 13, 15, 16, 18, 20, 25, 40, 80):
+        most = n // 4 if n > 9 else 1
+        for k in {0, 1, most // 2, most, most + 1}:
+            for _ in range(8):
+                w = prose(n, 7000 + len(items), 10**6).split()
+                items.append(" ".join(w))
+                at = r.sample(range(1, n - 1), k)
+                for j in at:
+                    w[j] = f"sub{j}"
+                if k <= most:
+                    want[len(texts), len(texts)] = (30, n, n - k)
+                texts.append(" ".join([prose(30, 1), *w, prose(30, 2)]))
+    got = {(x.doc_id, x.item_id): (x.start_word, x.n_words, x.n_matched) for x in decontam.contaminated(docs(texts), bench(spark, items)).collect()}
+    over = {k: v for k, v in got.items() if k not in want}  # beyond the share only by 12 words of one stretch
+    assert {k: v for k, v in got.items() if k in want} == want and all(v[2] >= 12 and k[0] == k[1] for k, v in over.items())
+    cut = [" ".join(items[-1].split()[-70:]), "one two three", "", None, " ".join(items[-1].split()[:10])]
+    assert [(x.doc_id, x.item_id) for x in decontam.contaminated(docs(cut), bench(spark, items[-1:])).collect()] == [(0, 0)]
+
+
 def test_contaminated_odd(spark, odd):
     b = bench(spark, [prose(80, 1)])
     assert sorted(r.doc_id for r in decontam.contaminated(odd, b).collect()) == [14, 14, 15]
