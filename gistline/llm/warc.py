@@ -31,17 +31,23 @@ _RECORD_NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 def _head(f, at: int, size: int, data: bytes, base: int) -> tuple[int, int] | None:
     """Where the block of a record at `at` begins, and its length; data holds the file's bytes from base."""
-    more = _SLACK
-    while True:
-        end = data.find(b"\r\n\r\n", at - base)
+    end, length = data.find(b"\r\n\r\n", at - base), None
+    if end >= 0:
+        found = _LENGTH.search(data, at - base, end + 2)
+        return (base + end + 4, int(found[1])) if found else None
+    f.seek(at)
+    data, base = b"", at
+    while more := f.read(_SLACK):  # read on in pieces, of which only a line that may state the length is kept
+        data += more
+        end = data.find(b"\r\n\r\n")
+        if length is None and (found := _LENGTH.search(data, 0, end + 2 if end >= 0 else len(data))):
+            length = int(found[1])
         if end >= 0:
-            break
-        if base + len(data) >= size or base + len(data) - at > 1 << 20:
-            return None
-        f.seek(at)
-        data, base, more = f.read(more), at, more * 4
-    found = _LENGTH.search(data, at - base, end + 2)
-    return (base + end + 4, int(found[1])) if found else None
+            return (base + end + 4, length) if length is not None else None
+        line = max(0, data.rfind(b"\r\n"))
+        keep = len(data) - line if len(data) - line < 64 or data[line : line + 17].lower() == b"\r\ncontent-length:" else 3
+        base, data = base + len(data) - keep, data[-keep:]
+    return None
 
 
 def _member(f, at: int, size: int) -> int | None:

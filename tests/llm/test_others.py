@@ -111,6 +111,26 @@ def test_round_trip(spark, gz):
     assert sorted(map(repr, got)) == sorted(map(repr, pages.collect()))
 
 
+def test_warc_header_beyond_the_split(spark):
+    rows = [(1, "http://a", "x"), (2, "data:," + "u" * (2 << 20), "long url"), (3, "http://b", "y"), (4, "data:," + "v" * (3 << 20), ""), (5, "http://c", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    files = warc.write_warc(pages, shared.scratch(spark, "w"))
+    for split in (7000, 1_500_000):  # little and much of the header in the split's bytes
+        got = warc.pages_of(warc.read_warc(spark, files, split)).collect()
+        assert sorted(map(tuple, got)) == rows
+
+
+def test_warc_head_in_pieces():
+    import io
+
+    for pad in range(warc._SLACK - 60, warc._SLACK + 10):
+        for line in (b"Content-Length: 12", b"content-length:" + b" " * 300 + b"12"):
+            head = b"WARC/1.0\r\nA: " + b"a" * pad + b"\r\n" + line + b"\r\nB: " + b"b" * 200_000 + b"\r\n\r\n"
+            assert warc._head(io.BytesIO(head + b"c" * 16), 0, len(head) + 16, head[:100], 0) == (len(head), 12)
+    for head in (b"WARC/1.0\r\nA: " + b"a" * 200_000, b"WARC/1.0\r\nA: " + b"a" * 200_000 + b"\r\n\r\n"):
+        assert warc._head(io.BytesIO(head), 0, len(head), head[:100], 0) is None
+
+
 def test_warc_cut_short_and_empty(spark, tmp_path):
     good = b"".join(r for i in range(3) for r in warc.page_records(i, "u", "text"))
     for name, data in (("a.warc", good[:-9]), ("b.warc", b"junk" + good), ("c.warc", b"")):
