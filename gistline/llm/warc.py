@@ -193,13 +193,12 @@ def _record(kind: str, block: bytes, record_id: str, uri: str | None, content_ty
 
 
 def page_records(page_id: int | None, url: str | None, html: str | None):
-    """A page's response; for every page a resource, too, whose payload is that whole record under another name."""
+    """A page's response; for every page a resource before it, too, whose payload is that whole record under another name."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "").encode()
     none = ("X-Null: 1",) if html is None else ()
+    decoy = _record("response", http, f"<urn:page:{'decoy' if page_id is None else -1 - page_id}>", url, "application/http; msgtype=response", none)
+    yield _record("resource", decoy, f"<urn:copy:{'' if page_id is None else page_id}>", url, "application/octet-stream")
     yield _record("response", http, f"<urn:page:{'' if page_id is None else page_id}>", url, "application/http; msgtype=response", none)
-    if page_id is not None and page_id % 8 == 0:
-        decoy = _record("response", http[:2000], f"<urn:page:{-1 - page_id}>", url, "application/http; msgtype=response")
-        yield _record("resource", decoy, f"<urn:copy:{page_id}>", url, "application/octet-stream")
 
 
 def write_warc(pages: DataFrame, uri: str, compress: bool = False) -> DataFrame:

@@ -111,6 +111,15 @@ def test_round_trip(spark, gz):
     assert sorted(map(repr, got)) == sorted(map(repr, pages.collect()))
 
 
+def test_warc_decoy_of_every_whole_page():
+    for page_id, html in ((7, "x" * 5000), (8, None), (None, "y")):
+        resource, response = warc.page_records(page_id, "http://a", html)
+        decoy = resource.partition(b"\r\n\r\n")[2][:-4]
+        name = f"<urn:page:{'' if page_id is None else page_id}>".encode()
+        other = b"<urn:page:decoy>" if page_id is None else f"<urn:page:{-1 - page_id}>".encode()
+        assert decoy == response.replace(name, other) != response
+
+
 def test_warc_header_beyond_the_split(spark):
     rows = [(1, "http://a", "x"), (2, "data:," + "u" * (2 << 20), "long url"), (3, "http://b", "y"), (4, "data:," + "v" * (3 << 20), ""), (5, "http://c", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
