@@ -2,7 +2,8 @@
 
 Offline, on the driver, every string of the vocabulary is merged by the ranks alone; those that end as one token are proved
 whole. A text is cut into pre-tokens by the tokenizer's pattern; a pre-token that is a proved string counts as one token,
-and only the others are merged (each distinct one once a task, as long as it is remembered).
+and only the others are merged (each distinct one once a task, as long as it is remembered). A string of the vocabulary that
+merging can't reach is none of the proved ones, and counts as what merging makes of it.
 """
 
 from __future__ import annotations
@@ -84,15 +85,23 @@ def whole_tokens(ranks: dict[bytes, int]) -> set[str]:
 
 
 class PieceCounter:
-    """Counts of a text's tokens; what is not proved whole is merged by tiktoken's merge loop."""
+    """Counts of a text's tokens; what is not proved whole is merged.
+
+    A piece that is no string of the vocabulary is merged by tiktoken, as one pre-token. One that is, but wasn't proved, is merged
+    here, since tiktoken would look it up and not merge it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], whole: set[str], pattern: str = PATTERN):
         import regex
         import tiktoken
 
         self.find = regex.compile(pattern).findall
-        self.merged = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.whole, self.memory = whole, {}
+        self.merged = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ranks, self.whole, self.memory = ranks, whole, {}
+
+    def size(self, piece: str) -> int:
+        raw = piece.encode()
+        return len(merge(raw, self.ranks) if raw in self.ranks else self.merged(piece))
 
     def count(self, text: str) -> tuple[int, int, int]:
         """Tokens, pre-tokens, and those of them that were counted directly."""
@@ -103,7 +112,7 @@ class PieceCounter:
         for p in rest:
             size = memory.get(p)
             if size is None:
-                size = len(self.merged(p.encode()))
+                size = self.size(p)
                 if len(p) <= _LONG:
                     if len(memory) >= _MEMORY:
                         memory.clear()
