@@ -8,6 +8,7 @@ around them, if any.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -127,15 +128,16 @@ def _pdf(d: bytes, i: int, ends) -> int | None:
 
 
 def _zip(d: bytes, i: int, ends) -> int | None:
-    marks = ends["PK\x05\x06"]
-    for e in marks[bisect_left(marks, i) :]:
-        if e + 22 > len(d):
-            return None
-        disk, size, start, comment = struct.unpack_from("<4x4xHIIH", d, e + 2)[0:4]
-        at = e - size
-        if i + start == at >= i and (not size or d.startswith(b"PK\x01\x02", at)) and e + 22 + comment <= len(d):
-            return e + 22 + comment - i
-    return None
+    if "archives" not in ends:  # the first end record of each place where an archive begins
+        ends["archives"] = {}
+        for e in ends["PK\x05\x06"]:
+            if e + 22 <= len(d):
+                size, start, comment = struct.unpack_from("<IIH", d, e + 12)
+                at = e - size
+                if at >= start and (not size or d.startswith(b"PK\x01\x02", at)) and e + 22 + comment <= len(d):
+                    ends["archives"].setdefault(at - start, e + 22 + comment)
+    end = ends["archives"].get(i)
+    return end - i if end is not None else None
 
 
 def _gzip(d: bytes, i: int, _) -> int | None:
@@ -156,13 +158,17 @@ def _gzip(d: bytes, i: int, _) -> int | None:
     return at - len(z.unused_data) - i
 
 
-_BRANDS = {b"isom", b"iso2", b"iso4", b"iso5", b"iso6", b"mp41", b"mp42", b"avc1", b"M4A ", b"M4V ", b"qt  ", b"dash", b"heic", b"avif", b"3gp4", b"3gp5"}
+#: what the major brand says of the type; for image/heif the compatible ones say more
+_BRANDS = [(b"avif", "image/avif"), (b"avis", "image/avif"), (b"heic", "image/heic"), (b"heix", "image/heic"), (b"hevc", "image/heic"), (b"mif1", "image/heif"), (b"msf1", "image/heif"), (b"M4A ", "audio/mp4"), (b"M4B ", "audio/mp4"), (b"M4P ", "audio/mp4"), (b"qt  ", "video/quicktime"), (b"3g2", "video/3gpp2"), (b"3gp", "video/3gpp")]
 _BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"meta", b"moof", b"mfra", b"uuid", b"sidx", b"styp", b"pdin"}
 
 
 def _iso(d: bytes, i: int, _) -> tuple[int, str] | None:
-    brand, at, kinds = d[i + 8 : i + 12], i, set()
-    if brand not in _BRANDS:
+    at, kinds, size = i, set(), int.from_bytes(d[i : i + 4])
+    if size < 16 or size % 4 or i + size > len(d):
+        return None
+    brands = [d[i + 8 : i + 12], *(d[k : k + 4] for k in range(i + 16, i + size, 4))]
+    if not all(32 <= c < 127 for b in brands for c in b if b != bytes(4)):
         return None
     while at + 8 <= len(d) and d[at + 4 : at + 8] in _BOXES:
         n = int.from_bytes(d[at : at + 4])
@@ -174,7 +180,9 @@ def _iso(d: bytes, i: int, _) -> tuple[int, str] | None:
             break
         kinds.add(d[at + 4 : at + 8])
         at += n
-    kind = {b"M4A ": "audio/mp4", b"heic": "image/heic", b"avif": "image/avif", b"qt  ": "video/quicktime"}.get(brand, "video/mp4")
+    kind = next((t for b, t in _BRANDS if brands[0].startswith(b)), "video/mp4")
+    if kind == "image/heif":  # says no more than that it holds images
+        kind = next((t for b, t in _BRANDS if t.startswith("image/") and b in brands), kind)
     return (at - i, kind) if b"ftyp" in kinds and len(kinds) > 1 else None
 
 
@@ -258,17 +266,25 @@ def media_in(a, payload: bytes) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def _plain(payload: bytes) -> str:
-    head = payload[:1024].lstrip(b"\xef\xbb\xbf \t\r\n").lower()
-    if head.startswith((b"<!doctype html", b"<html")):
+_LEAD = re.compile(rb"(?:\xef\xbb\xbf)?(?:[ \t\r\n\f]+|<!--.*?-->)*", re.S)
+_HTML = re.compile(rb"<(?:!doctype[ \t\r\n\f]+html|(?:html|head|body|script|style|title|meta|link|iframe|h1|div|font|table|a|b|br|p)(?=[ \t\r\n\f>/]))", re.I)
+_TAG = re.compile(rb"<(?:!doctype|/?[a-z][a-z0-9]*)[^<>]*>", re.I)
+
+
+def _plain(payload: bytes, said: str | None) -> str:
+    """The type of what no format fits: by what stands first after white space and comments, however long those are."""
+    lead = _LEAD.match(payload).end()
+    if _HTML.match(payload, lead):
         return "text/html"
-    if head.startswith(b"<?xml"):
-        return "application/xml"
+    if payload.startswith(b"<?xml", lead):
+        return "text/html" if said == "text/html" and _HTML.search(payload) else "application/xml"
     try:
         payload.decode()
     except UnicodeDecodeError:
         return "application/octet-stream"
-    return "text/plain" if b"\0" not in payload else "application/octet-stream"
+    if b"\0" in payload:
+        return "application/octet-stream"
+    return "text/html" if said == "text/html" and _TAG.search(payload) else "text/plain"  # markup anywhere bears the declaration out
 
 
 def sniff(a, payload: bytes | None, declared: str | None) -> list[dict]:
@@ -284,7 +300,7 @@ def sniff(a, payload: bytes | None, declared: str | None) -> list[dict]:
     if not payload:
         return [row(0, 0, 0, -1, "application/x-empty")]
     found = media_in(a, payload)
-    own = found.pop(0) if found and not found[0][0] else (0, len(payload), -1, _plain(payload))
+    own = found.pop(0) if found and not found[0][0] else (0, len(payload), -1, _plain(payload, said))
     return [row(0, *own)] + [row(k + 1, *f) for k, f in enumerate(found)]
 
 
@@ -303,7 +319,8 @@ def sniffed(media: DataFrame, id_: str = "page_id", payload: str = "payload", de
 
     `inside` is the offset of the innermost medium around it, -1 if none. `corrected` says that the type found differs from
     the declared one (parameters and known aliases aside). A null payload has a null type and is never corrected, an empty one
-    application/x-empty; what no format fits is text/html, application/xml, text/plain or application/octet-stream. What
+    application/x-empty; what no format fits is text/html (by its first tag after white space and comments, or declared so and with
+    a tag anywhere), application/xml, text/plain or application/octet-stream. What
     follows a medium at the start isn't part of it (its length says so). Very long payloads are searched whole; repeated rows
     each give their rows; an empty table gives none. Other columns don't matter.
     """
@@ -372,8 +389,8 @@ def payload_of(id_: int, text: str | None) -> tuple[bytes | None, str | None]:
     kinds = [
         (t, "text/html; charset=utf-8"),
         (make_png(t), "image/jpeg"),
-        (t[:half] + make_gif(t[:900]) + t[half:], "text/html"),
-        (make_zip({"page.html": t, "shot.png": make_png(t[:2000])}), "application/octet-stream"),
+        (t[:half] + make_gif(t) + t[half:], "text/html"),
+        (make_zip({"page.html": t, "shot.png": make_png(t)}), "application/octet-stream"),
         (t[:half] + make_png(t)[:-6] + t[half:], None),
         (make_wav(t), "audio/x-wav"),
         (make_pdf(make_jpeg(t)), "application/pdf"),
