@@ -162,7 +162,7 @@ def features(texts: pa.Array, stems: Stems = NO_STEMS, lexicon: tuple[str, ...]
     disguised, found = disguises(w, lexicon)
     hits, begun = np.bincount(doc[hit], minlength=n), np.bincount(doc[stem], minlength=n)
     all_ = [
-        np.minimum(hits, 50), hits / count, np.minimum(begun, 50), begun / count, np.minimum(np.bincount(doc[at], near, minlength=n), 50), np.bincount(doc[you], minlength=n) / count, per_doc((raw >= 65) & (raw <= 90)) / size,
+        hits, hits / count, begun, begun / count, np.bincount(doc[at], near, minlength=n), np.bincount(doc[you], minlength=n) / count, per_doc((raw >= 65) & (raw <= 90)) / size,
         np.bincount(doc[shouted], minlength=n) / count, per_doc(_PUNCTUATION[raw]) / size, per_doc(raw == 33) / size, disguised / count, found, np.log1p(np.diff(w.splits)),
     ]
     return np.stack([np.asarray(x, np.float32) for x in all_], 1)
