@@ -6,9 +6,15 @@ are compared word by word on the hit's diagonal: an overlap is the stretch of gr
 -PENALTY), and counts if it has LEAST matching words, or all of a shorter item's. An item of which ALIKE of all words match
 on the diagonal counts as well, from its first match to its last; at least CERTAIN words have to, as many as a mask holds.
 Such copies are all found, at any length: of an item's pieces of PIECE words, one more than there may be substitutions are
-sought, so that one of them is whole.
+sought, so that one of them is whole. Items of fewer than SHORTEST words are no passage that could be told from ordinary
+text: they are not sought, and unusable() lists them.
 
-The benchmark's hashes go to every task in slices of at most `slice_words` words; a larger benchmark takes several scans.
+Of consecutive hits on one diagonal only the first is taken, so that repetitive texts (number grids, tables) give as many
+diagonals as they have places and not their product; and of a document's and an item's diagonals, those after a whole copy
+aren't compared.
+
+The benchmark's hashes go to every task in slices of at most `slice_words` words (or one longer item); a larger benchmark takes
+several scans.
 """
 
 from __future__ import annotations
@@ -24,9 +30,10 @@ from .shared import column, keyed, parts, ship, table, with_key
 U = np.uint64
 MASKS = ("11101101011", "1101110010111", "111010011000111", "1100101101000001011")
 LEAST, PENALTY = 12, 3
-ALIKE, CERTAIN, PIECE = 0.75, 8, 3
+ALIKE, CERTAIN, PIECE, SHORTEST = 0.75, 8, 3, 3
 _PIECES = -1  # where the pieces stand among the masks
 _MOST = 1 << 18
+_CELLS = 1 << 22
 _ODD = (np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 62, 64, dtype=np.uint64) << U(1)) | U(1)
 
 
@@ -44,31 +51,34 @@ def spaced_hashes(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Index:
     """The items' words, and where each masked hash occurs in them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
         w = words.words_of(pa.array([t for _, t in items], pa.large_string()))
         self.ids, self.splits, self.words = [i for i, _ in items], w.splits, w.hash
+        size = np.diff(w.splits)
+        usable = size >= shortest
         found = []
         for m, mask in enumerate(MASKS):
-            found.append((m, *self._windows(mask, m)))
-        shortest = min(map(len, MASKS))
-        size = np.diff(w.splits)
-        self.short = sorted({int(n) for n in size if 0 < n < shortest})
+            found.append((m, 1, *self._windows(mask, m, usable)))
+        longest = min(map(len, MASKS))
+        self.short = sorted({int(n) for n in size if shortest <= n < longest})
         for n in self.short:  # an item shorter than every mask is sought whole
-            found.append((len(MASKS) + n, *self._windows("1" * n, len(MASKS) + n, size == n)))
+            found.append((len(MASKS) + n, n, *self._windows("1" * n, len(MASKS) + n, size == n)))
         self.need = np.maximum(np.ceil(ALIKE * size), np.minimum(size, CERTAIN)).astype(np.int64)
-        spare = size - self.need
+        spare = np.where(usable, size - self.need, 0)
         h, at = self._windows("1" * PIECE, len(MASKS) + PIECE, spare > 0)
-        doc = words.document_of(w.splits)[at]
-        piece, rest = np.divmod(at - w.splits[doc], PIECE)
-        sought = (rest == 0) & (piece <= spare[doc])
-        found.append((_PIECES, h[sought], at[sought]))
+        self.doc = words.document_of(w.splits)
+        piece, rest = np.divmod(at - w.splits[self.doc[at]], PIECE)
+        sought = (rest == 0) & (piece <= spare[self.doc[at]])
+        found.append((_PIECES, PIECE, h[sought], at[sought]))
         self.hashes = {}
-        for m, h, at in found:
+        for m, step, h, at in found:
             order = np.argsort(h, kind="stable")
             sieve = np.zeros(1 << 20, bool)
             sieve[h >> U(44)] = True
-            self.hashes[m] = (h[order], at[order], sieve)
-        self.doc = words.document_of(w.splits)
+            before = np.zeros(len(self.words) + 1, U)  # the hash of the window `step` words before, 0 for none
+            before[at] = h
+            before = np.where(at - w.splits[self.doc[at]] >= step, before[np.maximum(at - step, -1)], U(0))
+            self.hashes[m] = (h[order], at[order], before[order], sieve, step)
 
     def _windows(self, mask, salt, only=None):
         h = spaced_hashes(self.words, mask, salt)
@@ -80,25 +90,49 @@ class Index:
         return words.mix(h[ok]), at[ok]
 
     def _meets(self, w: words.Words, m: int):
-        """Places in the batch's words and the items', a bounded number at once, where windows have the same hash."""
-        known, at, sieve = self.hashes[m]
-        mask = MASKS[m] if 0 <= m < len(MASKS) else "1" * (PIECE if m == _PIECES else m - len(MASKS))
-        if not len(known) or len(w.hash) < len(mask):
+        """Places in the batch's words and the items', a bounded number at once, where windows have the same hash and those
+        one step before them have not."""
+        known, at, before, sieve, step = self.hashes[m]
+        size = len(MASKS[m]) if 0 <= m < len(MASKS) else PIECE if m == _PIECES else m - len(MASKS)
+        mask = MASKS[m] if 0 <= m < len(MASKS) else "1" * size
+        if not len(known) or len(w.hash) < size:
             return
         h = words.mix(spaced_hashes(w.hash, mask, len(MASKS) + PIECE if m == _PIECES else m))
         some = np.flatnonzero(sieve[h >> U(44)])
-        a, b = np.searchsorted(known, h[some]), np.searchsorted(known, h[some], side="right")
-        some, a, b = some[b > a], a[b > a], b[b > a]
-        upto, i = np.concatenate([[0], np.cumsum(b - a)]), 0
+        some = some[known[np.minimum(np.searchsorted(known, h[some]), len(known) - 1)] == h[some]]
         doc = words.document_of(w.splits)
-        while i < len(some):
-            j = max(i + 1, int(np.searchsorted(upto, upto[i] + _MOST, side="right")) - 1)
-            n = (b - a)[i:j]
-            p = np.repeat(some[i:j], n)
-            q = at[np.repeat(a[i:j], n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
-            ok = doc[p] == doc[p + len(mask) - 1]
-            yield p[ok], q[ok]
-            i = j
+        some = some[doc[some] == doc[some + size - 1]]
+        if not len(some):
+            return
+        had = (some >= step) & (doc[np.maximum(some - step, 0)] == doc[some])
+        last = np.where(had, h[np.maximum(some - step, 0)], U(0))
+        hashes, number = np.unique(h[some], return_inverse=True)
+        lasts, which = np.unique(last, return_inverse=True)
+        order = np.lexsort((some, which, number))
+        some, both = some[order], (number.astype(np.int64) * (len(lasts) + 1) + which)[order]
+        # each of the items' places with such a hash, against the documents' places with another window before
+        a, b = np.searchsorted(known, hashes), np.searchsorted(known, hashes, side="right")
+        n = b - a
+        place = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        number = np.repeat(np.arange(len(hashes)), n)
+        same = np.minimum(np.searchsorted(lasts, before[place]), len(lasts) - 1)
+        same = np.where((lasts[same] == before[place]) & (before[place] != 0), same, len(lasts))
+        low, high = np.searchsorted(both, number * (len(lasts) + 1)), np.searchsorted(both, (number + 1) * (len(lasts) + 1))
+        out, back = np.searchsorted(both, number * (len(lasts) + 1) + same), np.searchsorted(both, number * (len(lasts) + 1) + same, side="right")
+        first, count = np.concatenate([low, back]), np.concatenate([out - low, high - back])
+        place = np.concatenate([place, place])
+        while len(place):  # a bounded number at once; a long row of them in pieces
+            upto = np.cumsum(np.minimum(count, _MOST))
+            k = max(1, int(np.searchsorted(upto, _MOST, side="right")))
+            now = np.minimum(count[:k], _MOST)
+            p = some[np.repeat(first[:k], now) + np.arange(now.sum()) - np.repeat(np.cumsum(now) - now, now)]
+            yield p, at[np.repeat(place[:k], now)]
+            first[:k] += now
+            count[:k] -= now
+            left = count > 0
+            if left.all() and not now.any():
+                return
+            first, count, place = first[left], count[left], place[left]
 
     def _alike(self, w: words.Words, rows: np.ndarray) -> np.ndarray:
         """Those rows of hits() whose diagonal has the matches that the item needs."""
@@ -128,31 +162,51 @@ class Index:
                 found.append(self._alike(w, rows) if m == _PIECES else rows)
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
-    def overlap(self, w: words.Words, doc: int, item: int, base: int, least: int) -> tuple[int, int, int] | None:
-        """First word in the document, words and matches of the diagonal or its best stretch, if that has matches enough."""
-        x = self.words[self.splits[item] : self.splits[item + 1]]
-        a, b = max(base, int(w.splits[doc])), min(base + len(x), int(w.splits[doc + 1]))
-        same = w.hash[a:b] == x[a - base : b - base]
-        if (n := int(same.sum())) >= self.need[item]:
-            s, e = int(same.argmax()), len(same) - int(same[::-1].argmax())
-            return a - int(w.splits[doc]) + s, e - s, n
-        upto = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-        low = np.minimum.accumulate(upto)
-        e = int((upto - low).argmax())
-        s = int(upto[: e + 1].argmin()) if e else 0
-        n = int(same[s:e].sum())
-        return (a - int(w.splits[doc]) + s, e - s, n) if n >= min(least, len(x)) else None
+    def overlaps(self, w: words.Words, least: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """For each document and item: first word in the document, words and matches of the best overlap that has matches
+        enough; of equal ones the first. On a diagonal, that is all of it or its best stretch."""
+        rows, best, i = self.hits(w), {}, 0
+        size = np.diff(self.splits)
+        pair = np.cumsum(np.concatenate([[0], (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+        whole = np.zeros(len(rows), bool)  # pairs with a whole copy: no later diagonal is better
+        while i < len(rows):
+            upto = np.cumsum(size[rows[i : i + _CELLS, 1]])
+            j = i + max(1, int(np.searchsorted(upto, _CELLS // 16, side="right")))
+            at = np.arange(i, j)[~whole[pair[i:j]]]
+            i = j
+            for n in np.unique(size[rows[at, 1]]).tolist():  # items of one length together
+                some = at[size[rows[at, 1]] == n]
+                if not len(some):
+                    continue
+                doc, item, base = rows[some].T
+                where = base[:, None] + np.arange(n)
+                inside = (where >= w.splits[doc][:, None]) & (where < w.splits[doc + 1][:, None])
+                same = inside & (w.hash[np.clip(where, 0, len(w.hash) - 1)] == self.words[self.splits[item][:, None] + np.arange(n)])
+                total = same.sum(axis=1)
+                upto_ = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(np.where(same, 1, np.where(inside, -PENALTY, -n * PENALTY - 1)), axis=1)], 1)
+                e = (upto_ - np.minimum.accumulate(upto_, axis=1)).argmax(axis=1)
+                s = np.where(np.arange(n + 1) <= e[:, None], upto_, upto_.max() + 1).argmin(axis=1)
+                s = np.where(e > 0, s, 0)
+                matches = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(same, axis=1)], 1)
+                r = np.arange(len(some))
+                stretch = matches[r, e] - matches[r, s]
+                enough = total >= self.need[item]
+                s = np.where(enough, same.argmax(axis=1), s)
+                e = np.where(enough, n - same[:, ::-1].argmax(axis=1), e)
+                got = np.where(enough, total, stretch)
+                for k in np.flatnonzero(enough | (stretch >= min(least, n))).tolist():
+                    o = (int(base[k] - w.splits[doc[k]] + s[k]), int(e[k] - s[k]), int(got[k]))
+                    key = int(doc[k]), int(item[k])
+                    if key not in best or (o[2], -o[0]) > (best[key][2], -best[key][0]):
+                        best[key] = o
+                whole[pair[some[got == n]]] = True
+        return best
 
 
 def _search(index: Index, least: int):
     def run(batches):
         for b in parts(batches):
-            w = words.words_of(b.column(1))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for d, i, base in index.hits(w).tolist():
-                o = index.overlap(w, d, i, base, least)
-                if o and (o[2], -o[0]) > ((k := best.get((d, i), (0, 0, 0)))[2], -k[0]):
-                    best[d, i] = o
+            best = index.overlaps(words.words_of(b.column(1)), least)
             if best:
                 rows = pa.array([d for d, _ in best])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array([index.ids[i] for _, i in best], pa.int64()), *(pa.array([o[k] for o in best.values()], pa.int32()) for k in range(3))], ["key", "th", "item", "start", "n", "matched"])
@@ -160,35 +214,56 @@ def _search(index: Index, least: int):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slice_words: int = 2_000_000) -> DataFrame:
+def _items(benchmark: DataFrame) -> DataFrame:
+    text = column(benchmark, "text").cast("string")
+    d = benchmark.select(column(benchmark, "item_id").cast("long").alias("item"), text.alias("text")).filter("text is not null").distinct()
+    return d.withColumn("n", F.regexp_count("text", F.lit(r"[\p{L}\p{M}\p{N}]+")))
+
+
+def unusable(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """item_id, text, n_words of the benchmark's items of fewer than `shortest` words, which aren't sought. Null texts have no row,
+    repeated rows have one; other columns don't matter."""
+    return _items(benchmark).filter(F.col("n") < shortest).select(F.col("item").alias("item_id"), "text", F.col("n").alias("n_words"))
+
+
+def _slices(items: DataFrame, slice_words: int):
+    """The items in order, as lists of at most so many words (or one longer item)."""
+    held, n = [], 0
+    for r in items.orderBy("item", "text").toLocalIterator():
+        if held and n + r.n > slice_words:
+            yield held
+            held, n = [], 0
+        held.append((r.item, r.text))
+        n += r.n
+    yield held
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slice_words: int = 2_000_000, shortest: int = SHORTEST) -> DataFrame:
     """key, th, item, start, n, matched: the best overlap of each document and item that have one."""
     spark = docs.sparkSession
     ship(spark)
-    text = column(benchmark, "text").cast("string")
-    items = benchmark.select(column(benchmark, "item_id").cast("long").alias("item"), text.alias("text")).filter("text is not null").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = 1 + size // (6 * slice_words)
-    d, out = keyed(docs), None
-    for k in range(slices):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).orderBy("item", "text").collect() if size else []
-        found = d.mapInArrow(_search(Index([(r.item, r.text) for r in rows]), least), "key long, th int, item long, start int, n int, matched int")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    d, out, last = keyed(docs), None, None
+    for items in _slices(_items(benchmark).filter(F.col("n") >= shortest), slice_words):
+        if last is not None:  # another follows: this one's scan is done at once, so that the driver holds one index
+            out = table(last, "overlaps") if out is None else out.unionByName(table(last, "overlaps"))
+        last = d.mapInArrow(_search(Index(items, shortest), least), "key long, th int, item long, start int, n int, matched int")
+    return last if out is None else out.unionByName(last)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, start_word, n_words, n_matched: the best overlap of each document and benchmark item that have one.
 
     Words are runs of letters, marks and digits in lower case. Nulls, empty texts and items have no rows; very long texts count
     whole; an empty table on either side gives none. Of equal overlaps the first counts. A row repeated in docs gives its rows
     again; a document without doc_id goes by a negative number from its text's hash, an item without item_id has a null.
-    Columns other than doc_id, item_id and text don't matter.
+    Items of fewer than `shortest` words are left out (unusable() lists them). Columns other than doc_id, item_id and text
+    don't matter.
     """
-    return overlaps(docs, benchmark, least).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("matched").alias("n_matched"))
+    return overlaps(docs, benchmark, least, shortest=shortest).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("matched").alias("n_matched"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs without the documents that contaminated() has rows for."""
-    found = table(overlaps(docs, benchmark, least).select("key", "th").distinct(), "leaks")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
+    """docs without the documents that contaminated() has rows for; nulls, empty and repeated rows stay as they are, and so do all columns."""
+    found = table(overlaps(docs, benchmark, least, shortest=shortest).select("key", "th").distinct(), "leaks")
     d, k, th = with_key(docs)
     return d.join(found.select(F.col("key").alias(k), F.col("th").alias(th)), [k, th], "left_anti").drop(k, th)
