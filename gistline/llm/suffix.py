@@ -8,9 +8,11 @@ each class goes on, the others are repeats.
 
 Across shards, passages meet by content: each goes to the partition of its minimizer, the least hash of the SEED-word
 runs in it, which equal passages share. There every shard's passages are a sorted run of fingerprints, and the runs are
-merged pairwise by binary search; of equal ones the first in the order of documents wins.
+merged pairwise by binary search; of equal ones the first in the order of documents wins. Partitions are sorted by minimizer,
+and a task holds the passages of whole minimizers, about MERGE bytes of them at a time.
 
-Every passage of `least` words that also stands at an earlier place in the corpus is thus found, wherever that is.
+Every passage of `least` words that also stands at an earlier place in the corpus is thus found, wherever that is. Passages
+are taken as equal by 128 bits of hashes: the minimizer's 64 and a fingerprint's 64.
 """
 
 from __future__ import annotations
@@ -20,14 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from . import words
 from .shared import column, fresh, keyed, parts, ship, table, with_key
 
 U = np.uint64
-LEAST, SEED, SHARD = 50, 20, (1 << 20) - (1 << 14)
+LEAST, SEED, SHARD, MERGE = 50, 20, (1 << 20) - (1 << 14), 16 << 20
 _RUN = "key long, shard long, doc long, th int, start int, n int, prints binary, kept long, kept_start int"
 
 
@@ -183,14 +184,14 @@ class _Shard:
         bits = n.bit_length()
         small = (words.mix(grams) >> U(bits) << U(bits)) | np.arange(len(grams), dtype=U)
         least_at = (_sliding_least(small, least - SEED + 1) & U((1 << bits) - 1)).astype(np.int64)
-        prints = (words.mix(words.ngram_hashes(text, least)) >> U(32)).astype("<u4")
+        prints = words.mix(words.ngram_hashes(text, least)).astype("<u8")
         at = np.flatnonzero((whole & ~repeat)[: len(prints)])
         if len(at):
             new = np.ones(len(at), bool)
             new[1:] = (np.diff(at) > 1) | (np.diff(least_at[at]) != 0)
             starts = np.flatnonzero(new)
             a, count = at[starts], np.diff(np.append(starts, len(at)))
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 4
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 8
             blob = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(prints[at].tobytes())])
             out.append((grams[least_at[a]].view(np.int64), a, count, blob, None))
         batches = []
@@ -246,31 +247,49 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], winner: np.ndarray) ->
 
 def _merge(least: int):
     def run(batches):
-        held = []
+        """Batches sorted by key: whole keys are gathered, up to MERGE bytes. Of a key with more, only first passages are kept on."""
+        held, size, limit = [], 0, MERGE
         for b in batches:
             local = b.column(7).is_valid()
             if pc.any(local).as_py():
                 yield _spans(b.filter(local))
                 b = b.filter(pc.invert(local))
+            if not b.num_rows:
+                continue
             held.append(b)
-        held = [b for b in held if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
+            size += b.nbytes
+            if size > limit:
+                t, last, rest = pa.Table.from_batches(held), b.column(0)[b.num_rows - 1].as_py(), []
+                if held[0].column(0)[0].as_py() == last:
+                    yield from merged(t, rest)
+                else:  # the last key may go on
+                    cut = int(np.searchsorted(t.column("key").to_numpy(), last))
+                    yield from merged(t.slice(0, cut))
+                    rest = t.slice(cut).combine_chunks().to_batches()
+                held, size = rest, sum(x.nbytes for x in rest)
+                limit = max(MERGE, 2 * size)
+        if held:
+            yield from merged(pa.Table.from_batches(held))
+
+    def merged(t: pa.Table, rest: list | None = None):
+        """Batches of repeats among the rows; the first passages go to rest, if there is one."""
         key = t.column("key").to_numpy()
         low = np.sort(key)
         twice = np.unique(low[1:][low[1:] == low[:-1]])
         if not len(twice):
+            if rest is not None:
+                rest += t.to_batches()
             return
         shared = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
         t = t.filter(pa.array(shared)).sort_by([("doc", "ascending"), ("th", "ascending"), ("start", "ascending")]).combine_chunks()
         key, n = t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.int64)
         raw = t.column("prints").combine_chunks() if isinstance(t.column("prints"), pa.ChunkedArray) else t.column("prints")
         off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-        prints = np.frombuffer(raw.buffers()[2], "<u4")[off[0] // 4 : off[-1] // 4]
+        prints = np.frombuffer(raw.buffers()[2], "<u8")[off[0] // 8 : off[-1] // 8]
         row = np.repeat(np.arange(len(n)), n)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        full = words.mix(key[row].view(U) ^ (prints.astype(U) * U(0x9E3779B97F4A7C15)))
+        _, group = np.unique(key, return_inverse=True)
+        full = np.unique(prints, return_inverse=True)[1].astype(np.int64) * int(group.max() + 1) + group[row]  # equal where key and fingerprint are
         _, shard = np.unique(t.column("shard").to_numpy(), return_inverse=True)
         shard = shard[row]
         order = np.lexsort((np.arange(len(row)), full, shard))
@@ -290,10 +309,14 @@ def _merge(least: int):
                 break
             winner = further
         at = np.flatnonzero(winner != np.arange(len(winner)))
+        start, doc, th = t.column("start").to_numpy(), t.column("doc").to_numpy(), t.column("th").to_numpy()
+        if rest is not None:
+            i = np.flatnonzero(winner == np.arange(len(winner)))
+            blob = pa.BinaryArray.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((np.arange(len(i) + 1) * 8).astype(np.int32)), pa.py_buffer(prints[i].tobytes())])
+            rest.append(pa.RecordBatch.from_arrays([pa.array(key[row[i]]), pa.array(np.zeros(len(i), np.int64)), pa.array(doc[row[i]]), pa.array(th[row[i]]), pa.array((start[row[i]] + shift[i]).astype(np.int32)), pa.array(np.ones(len(i), np.int32)), blob, pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())], _RUN_NAMES))
         if not len(at):
             return
         to = winner[at]
-        start, doc, th = t.column("start").to_numpy(), t.column("doc").to_numpy(), t.column("th").to_numpy()
         s, k = start[row[at]] + shift[at], start[row[to]] + shift[to]
         d, h, kd = doc[row[at]], th[row[at]], doc[row[to]]
         other = (d != kd) | (s != k) | (h != th[row[to]])  # a row repeated in another shard is the same document
@@ -323,7 +346,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"least must exceed {SEED}")
     ship(docs.sparkSession)
     runs = keyed(docs).mapInArrow(_shards(least), _RUN)
-    found = runs.repartition(F.col("key")).mapInArrow(_merge(least), "doc long, th int, start int, n int, kept long, kept_start int")
+    found = runs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_merge(least), "doc long, th int, start int, n int, kept long, kept_start int")
     w = Window.partitionBy("doc", "th", "kept", (F.col("start") - F.col("kept_start")).alias("shift")).orderBy("start")
     first = F.coalesce((F.col("start") > F.max(F.col("start") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     joined = found.withColumn("first", first).withColumn("island", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -344,15 +367,18 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return spans(docs, least).select(F.col("key").alias("doc_id"), F.col("kept").alias("kept_doc_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("kept_start").alias("kept_start_word"))
 
 
-def _cut(batches):
-    """Rows (text, starts, stops): the text without those words, each with what follows it up to the next word; null if no word is left."""
-    for b in parts(batches, 0):
-        texts, starts, stops = b.column(0), b.column(1), b.column(2)
+def _cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+    """The texts without those words, each with what follows it up to the next word; null if no word is left, and for a null."""
+    out = []
+    for b in parts([pa.RecordBatch.from_arrays([texts, starts, stops], ["text", "starts", "stops"])], 0):
+        texts, starts, stops = b.columns
         w = words.words_of(texts)
         _, raw = words.buffers(texts)
-        out = []
         for d in range(b.num_rows):
             first, last = int(w.splits[d]), int(w.splits[d + 1])
+            if first == last:
+                out.append(None)
+                continue
             gone = np.zeros(last - first + 1, np.int64)
             np.add.at(gone, np.minimum(starts[d].values.to_numpy(), last - first), 1)
             np.add.at(gone, np.minimum(stops[d].values.to_numpy(), last - first), -1)
@@ -365,23 +391,22 @@ def _cut(batches):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], stay.astype(np.int8), [0]])))
             pieces = [raw[begin : int(from_[0])]] + [raw[int(from_[a]) : int(from_[z])] for a, z in zip(edge[::2], edge[1::2])]
             out.append(b"".join(p.tobytes() for p in pieces).decode("utf8", "replace"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(b.column(i) for i in range(3, b.num_columns))], ["text", *b.schema.names[3:]])
+    return pa.array(out, pa.string())
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs without the words of repeated_passages(), with n_chars (where docs have it) counted anew; a document of which no
-    word is left goes. Others stay as they are."""
-    spark = docs.sparkSession
+    word is left goes. Others stay as they are: nulls, empty and short texts, and every other column, whatever its name."""
     found = table(spans(docs, least), "repeats")
     each = found.groupBy("key", "th").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + F.col("n")).alias("stops"))
     d, k, th = with_key(docs)
-    starts, stops = fresh(d, "starts", "stops")
+    starts, stops, new = fresh(d, "starts", "stops", "new_text")
     each = each.select(F.col("key").alias(k), F.col("th").alias(th), F.col("starts").alias(starts), F.col("stops").alias(stops))
-    joined = table(d.join(each, [k, th], "left").drop(k, th), "marked")
-    some = F.col(starts).isNotNull()
-    same = joined.filter(~some).select(*[column(joined, c) for c in docs.columns])
     text = next(c for c in docs.columns if c.lower() == "text")
-    slim = joined.filter(some).select(F.col(text).cast("string").alias("text"), starts, stops, F.struct(*[column(joined, c) for c in docs.columns if c != text]).alias("rest"))
-    cut = slim.mapInArrow(_cut, StructType().add("text", "string").add("rest", slim.schema["rest"].dataType)).filter("text is not null")
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
-    return same.unionByName(cut.select(*[(new[c.lower()].cast(docs.schema[c].dataType) if c.lower() in new else F.col("rest").getField(c)).alias(c) for c in docs.columns]))
+    cut = F.arrow_udf(_cut, "string").asNondeterministic()  # so that it runs once a row, and not again in the filter
+    joined = d.join(each, [k, th], "left")
+    some = F.col(starts).isNotNull()
+    made = joined.withColumn(new, cut(F.when(some, column(joined, text).cast("string")), F.coalesce(F.col(starts), F.array().cast("array<int>")), F.coalesce(F.col(stops), F.array().cast("array<int>"))))
+    made = made.filter(~some | F.col(new).isNotNull())
+    put = {"text": F.col(new), "n_chars": F.length(new)}
+    return made.select(*[(F.when(some, put[c.lower()].cast(docs.schema[c].dataType)).otherwise(column(made, c)) if c.lower() in put else column(made, c)).alias(c) for c in docs.columns])
