@@ -5,6 +5,7 @@ that version with their rows and bytes. Arrivals are appended as small shards. C
 size by tiers of like size (powers of `fanout`); a tier of at least `fanout` shards is merged into files of about the target
 size, each by one task that streams row groups. A version is committed by creating its manifest, which fails if there is
 one already; readers see whole versions only. Files that tasks wrote in vain are in no manifest, and vacuum() removes them.
+Commits need a file system that creates or renames exclusively, as local and distributed ones do; not all object stores do.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import filesystem, ship
 
-TARGET_BYTES, FANOUT = 128 << 20, 4
+TARGET_BYTES, FANOUT, ARRIVALS, ARRIVAL_ROWS = 128 << 20, 4, 8, 4096
 _GROUP_ROWS = 1 << 14
 
 
@@ -82,10 +83,24 @@ class Store:
 
     def append(self, df: DataFrame) -> dict:
         """One shard for each of df's partitions with rows; a new version. Retries on a concurrent commit."""
-        files = self._write(df)
+        return self._added(self._write(df), df.schema.json())
+
+    def append_stream(self, df: DataFrame, arrivals: int = ARRIVALS, rows: int = ARRIVAL_ROWS) -> dict:
+        """df as so many arrivals, a version each, of shards of at most so many rows. They are written in one pass, and full tiers
+        are merged as they arrive; what was merged is removed, so no one else may be reading or writing."""
+        files, schema = self._write(df, rows), df.schema.json()
+        out = self.manifest()
+        for k in range(arrivals):
+            some = files[k::arrivals]
+            if some or not k:
+                self._added(some, schema)
+                out = self.compact()
+                self._forget([f for j in range(k + 1, arrivals) for f in files[j::arrivals]])
+        return out
+
+    def _added(self, files: list[dict], schema: str) -> dict:
         while True:
             base = self.manifest()
-            schema = df.schema.json()
             if base["schema"] and _names(base["schema"]) != _names(schema):
                 raise ValueError("the columns differ from the store's")
             try:
@@ -93,19 +108,19 @@ class Store:
             except Conflict:
                 continue
 
-    def _write(self, df: DataFrame) -> list[dict]:
+    def _write(self, df: DataFrame, rows: int = 0) -> list[dict]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", self.codec).parquet(folder)
+        df.write.option("compression", self.codec).option("maxRecordsPerFile", rows).parquet(folder)
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
         files = [{"path": f"{folder.removeprefix(self.root + '/')}/{n}", "bytes": b} for n, b in sizes.items()]
-        return self._counted(files)
+        return sorted(self._counted(files), key=lambda f: f["path"])
 
     def _counted(self, files: list[dict]) -> list[dict]:
         """With the rows by their footers, read by tasks; empty files drop out."""
         if not files:
             return []
         root = self.root
-        plan = self.spark.createDataFrame([(f["path"], f["bytes"]) for f in files], "path string, bytes long").repartition(min(64, len(files)))
+        plan = self.spark.createDataFrame([(f["path"], f["bytes"]) for f in files], "path string, bytes long").repartition(-(-len(files) // 16))
 
         def count(batches):
             import pyarrow.parquet as pq
@@ -208,8 +223,12 @@ class Store:
 
     def vacuum(self, keep: int = 1) -> None:
         """Removes the data that the last `keep` versions don't have, and the manifests before them. No writer may be at work."""
+        self._forget([], keep)
+
+    def _forget(self, coming: list[dict], keep: int = 1) -> None:
+        """vacuum(), but for files that are still to be committed."""
         known = self.versions()[-keep:]
-        live = {s["path"] for v in known for s in self.manifest(v)["shards"]}
+        live = {s["path"] for v in known for s in self.manifest(v)["shards"]} | {f["path"] for f in coming}
         data = self._path(f"{self.root}/data")
         if self._fs.exists(data):
             for folder in self._fs.listStatus(data):
@@ -230,14 +249,13 @@ def _names(schema: str) -> list[tuple[str, str]]:
     return [(f["name"], json.dumps(f["type"])) for f in json.loads(schema)["fields"]]
 
 
-def sharded(df: DataFrame, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """df's rows, all columns as they are, read from a new store at root to which each of df's partitions came as an arrival.
+def sharded(df: DataFrame, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT, arrivals: int = ARRIVALS, rows: int = ARRIVAL_ROWS) -> DataFrame:
+    """df's rows, all columns as they are, read from a new store at root to which df came in so many arrivals of small shards (of at
+    most so many rows), with full tiers merged after each.
 
     Nulls, empty and very long texts, repeated rows, whatever columns: rows are carried, not looked at. Rows equal or not keep
     no order. An empty table makes a version without shards, which reads as an empty table of the same columns.
     """
     store = Store(df.sparkSession, root, target, fanout)
-    store.append(df)
-    store.compact()
-    store.vacuum()
+    store.append_stream(df, arrivals, rows)
     return store.read()
