@@ -1,47 +1,76 @@
 """Chunk scores by PageRank over word or chunk graphs.
 
-A document's graph is small and its ranking iterative, so each document is ranked by itself in an Arrow function that
-receives tokens and returns scores; texts stay in the JVM, and nothing is exchanged between tasks.
+A document's graph is small and its ranking iterative, so documents are ranked in an Arrow function that receives tokens and
+returns scores; texts stay in the JVM, and nothing is exchanged between tasks. A batch of documents is one graph of as many
+parts: pairs, weights, ranks and scores of all of them are computed at once, over arrays of numbers.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import drop, table
 from ..ship import ship
 
+_MOST = 1 << 20  # tokens of documents that are ranked at once (or one longer document), and pairs that are summed at once
 
-def pagerank(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Ranks of an undirected weighted graph of n nodes by power iteration, until they change by less than n * tolerance in all."""
-    if not n:
-        return np.zeros(0)
+
+def pageranks(graph: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the nodes of undirected weighted graphs, by power iteration, and whether each graph's converged.
+
+    graph: the graph (from 0) of each node. A graph of n nodes is done when its ranks change by less than n * tolerance in all; one
+    that isn't after so many rounds has ranks of 0.
+    """
+    n = len(graph)
+    graphs = int(graph.max()) + 1 if n else 0
+    size = np.bincount(graph, minlength=graphs)
     src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
     out = np.bincount(src, w, n)
-    share = w / out[src]
+    share = w / np.where(out[src] > 0, out[src], 1)
     idle = out == 0
-    x = np.full(n, 1 / n)
+    each = size[graph] if n else np.zeros(0, np.int64)
+    ranks, done = np.zeros(n), np.zeros(graphs, bool)
+    live, x = np.arange(n), 1 / np.maximum(each, 1)
     for _ in range(rounds):
-        new = damping * (np.bincount(dst, x[src] * share, n) + x[idle].sum() / n) + (1 - damping) / n
-        if np.abs(new - x).sum() < n * tolerance:
-            return new
+        if not len(live):
+            break
+        of = graph[live]
+        lost = np.bincount(of, np.where(idle[live], x, 0), graphs)[of]
+        new = damping * (np.bincount(dst, x[src] * share, len(live)) + lost / each[live]) + (1 - damping) / each[live]
+        close = (np.bincount(of, np.abs(new - x), graphs) < size * tolerance) & ~done
+        ranks[live[close[of]]] = new[close[of]]
+        done |= close
         x = new
-    raise ArithmeticError("no convergence")
+        if 2 * done[of].sum() > len(of):  # go on with the others alone
+            stay = ~done[of]
+            number = np.cumsum(stay) - 1
+            edge = stay[src]
+            src, dst, share = number[src[edge]], number[dst[edge]], share[edge]
+            live, x = live[stay], x[stay]
+    return ranks, done
+
+
+def pagerank(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
+    """Ranks of one graph of n nodes; zeros if they don't converge."""
+    return pageranks(np.zeros(n, np.int64), a, b, weight, damping, rounds, tolerance)[0]
 
 
 @dataclass(frozen=True)
 class Ranker:
     """What graph is built, and how ranks become scores.
 
-    edge: how much an occurrence of two tokens at a distance weighs: "flat" 1, "near" 1/distance, "first_tfidf" and
-    "position" 1/distance times both tokens' weights, "combined" by the flags; "topic" is a graph of chunks, "semantic" one of
-    words by the cosine of their counts over chunks.
+    Kinds: "textrank" sums 1/distance over the occurrences of two tokens; "singlerank", "positionrank" and "combined" weigh these
+    by tokens' TF-IDF or places; "topicrank" is a graph of chunks; "semantic" one of words by the likeness of their counts over
+    chunks: the cosine, or what `similarity` makes of a document's words x chunks matrix of counts (a words x words matrix).
+    smooth and sublinear are those of TF-IDF: whether a document of all words is added, whether 1 + ln(count) is taken.
     """
 
     kind: str = "textrank"
@@ -51,168 +80,257 @@ class Ranker:
     tfidf: bool = True
     position: bool = True
     decay: float = 0.95
+    similarity: Callable[[np.ndarray], np.ndarray] | None = None
+    smooth: bool = True
+    sublinear: bool = False
+
+
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of so many: each member's group, and its place in it."""
+    group = np.repeat(np.arange(len(count)), count)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+
+
+class _Pairs:
+    """Weights of pairs (a < b) of numbers under `size`, summed as they come, a bounded number at once."""
+
+    def __init__(self, size: int):
+        self.size, self.key, self.weight, self.waiting, self.held = size, np.zeros(0, np.int64), np.zeros(0), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
+        self.waiting.append((np.minimum(a, b) * self.size + np.maximum(a, b), weight))
+        self.held += len(a)
+        if self.held > max(4 * _MOST, len(self.key)):
+            self._sum()
+
+    def _sum(self):
+        key, weight = (np.concatenate(x) for x in zip((self.key, self.weight), *self.waiting))
+        self.key, at = np.unique(key, return_inverse=True)
+        self.weight, self.waiting, self.held = np.bincount(at, weight, len(self.key)), [], 0
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._sum()
+        return self.key // max(1, self.size), self.key % max(1, self.size), self.weight
+
+    def add_within(self, group: np.ndarray, what: np.ndarray, value: np.ndarray):
+        """All pairs in each group (rows are sorted by group), with the products of their values."""
+        count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))) if len(group) else np.zeros(0, np.int64)
+        _, place = _spread(count)
+        i, upto = 0, np.cumsum(place)
+        while i < len(place):  # row k meets the `place` rows of its group before it
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _MOST, side="right")))
+            k, back = _spread(place[i:j])
+            k += i
+            other = k - 1 - back
+            self.add(what[other], what[k], value[other] * value[k])
+            i = j
+
+
+class _Batch:
+    """Tokens of documents' chunks as numbers. A word is a token of a document; `own` has each chunk's distinct words."""
 
+    def __init__(self, chunks: pa.Array, query: pa.Array, has: np.ndarray):
+        self.docs = len(chunks)
+        lists, tokens = _flat(chunks), _flat(chunks.flatten())
+        asked = _flat(query)
+        self.doc, _ = _spread(lists)  # of each chunk
+        self.chunk, place = _spread(tokens)  # of each token
+        self.pos = place + 1
+        who, _ = _spread(asked)
+        flat = chunks.flatten().flatten().cast(pa.large_string())
+        codes = pa.concat_arrays([flat, query.flatten().cast(pa.large_string())]).dictionary_encode()
+        code, width = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(codes.dictionary))
+        names, self.word = np.unique(self.doc[self.chunk] * width + code[: len(flat)], return_inverse=True)
+        self.words, self.word_doc = len(names), names // width
+        want = np.unique(who * width + code[len(flat) :])
+        want = want[has[want // width]]
+        self.wanted = np.isin(names, want)  # words that are in their document's query
+        self.asks = np.bincount(want // width, minlength=self.docs)  # distinct tokens of its query
+        self.chunks = np.bincount(self.doc, minlength=self.docs)
+        self.starts = np.cumsum(self.chunks) - self.chunks
+        key, self.at, self.tf = np.unique(self.chunk * max(1, self.words) + self.word, return_inverse=True, return_counts=True)
+        self.own_chunk, self.own = key // max(1, self.words), key % max(1, self.words)
+        self.distinct = np.bincount(self.own_chunk, minlength=len(self.doc))
 
-def _unit_tfidf(docs: list[list[str]]) -> list[dict[str, float]]:
-    df = Counter(t for d in docs for t in set(d))
-    out = []
-    for d in docs:
-        raw = {t: c * (np.log((1 + len(docs)) / (1 + df[t])) + 1) for t, c in Counter(d).items()}
-        norm = np.sqrt(sum(v * v for v in raw.values()))
-        out.append({t: v / norm for t, v in raw.items()})
+    def places(self, decay: float, first: bool) -> np.ndarray:
+        """Of each own: the sum of 1/place, times decay to the power of the first place; or of 1/place times decay to that place's."""
+        if not first:
+            return np.bincount(self.at, 1 / self.pos * decay ** (self.pos - 1), len(self.own))
+        low = np.full(len(self.own), np.iinfo(np.int64).max)
+        np.minimum.at(low, self.at, self.pos)
+        return np.bincount(self.at, 1 / self.pos, len(self.own)) * decay ** (low - 1)
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    """The lengths of lists; nulls are empty."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _unit_tfidf(group: np.ndarray, n: np.ndarray, df: np.ndarray, tf: np.ndarray, r: Ranker) -> np.ndarray:
+    """TF-IDF of rows, scaled to length 1 in each group."""
+    idf = (np.log((1 + n) / (1 + df)) if r.smooth else np.log(n / df)) + 1
+    raw = (1 + np.log(tf) if r.sublinear else tf) * idf
+    return raw / np.sqrt(np.bincount(group, raw * raw))[group] if len(raw) else raw
+
+
+def _graph_ranks(doc_of: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float) -> np.ndarray:
+    """Ranks of the nodes that have an edge, 0 of the others; each document's graph by itself."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    out = np.zeros(len(doc_of))
+    if len(nodes):
+        _, graph = np.unique(doc_of[nodes], return_inverse=True)
+        out[nodes] = pageranks(graph, ends[: len(a)], ends[len(a) :], weight, damping)[0]
     return out
 
 
-def _places(ts: list[str], decay: float, first: bool) -> dict[str, float]:
-    at = defaultdict(list)
-    for p, t in enumerate(ts, 1):
-        at[t].append(p)
-    if first:
-        return {t: sum(1 / p for p in ps) * decay ** (min(ps) - 1) for t, ps in at.items()}
-    return {t: sum(1 / p * decay ** (p - 1) for p in ps) for t, ps in at.items()}
-
-
-def _word_ranks(edges: dict[tuple[str, str], float], damping: float) -> dict[str, float]:
-    names = {t: i for i, t in enumerate(dict.fromkeys(t for e in edges for t in e))}
-    a, b = (np.array([names[e[k]] for e in edges], np.int64) for k in (0, 1))
-    return dict(zip(names, pagerank(len(names), a, b, np.array(list(edges.values())), damping).tolist()))
-
-
-def _topic(chunks: list[list[str]], lower: list[list[str]], query: list[str], low_query: list[str], has_query: bool, r: Ranker) -> list[float]:
-    n = len(chunks)
-    vectors = _unit_tfidf(lower + ([low_query] if has_query else []))[:n]
-    by_token = defaultdict(list)
-    for i, v in enumerate(vectors):
-        for t, x in v.items():
-            by_token[t].append((i, x))
-    close: dict[tuple[int, int], float] = defaultdict(float)
-    for held in by_token.values():
-        for k, (j, y) in enumerate(held):
-            for i, x in held[:k]:
-                close[i, j] += x * y
-    edges = {e: w for e, w in close.items() if w >= r.least}
-    if not edges:
-        return [1 / n] * n
-    nodes = {i: k for k, i in enumerate(sorted({i for e in edges for i in e}))}
-    a, b = (np.array([nodes[e[k]] for e in edges], np.int64) for k in (0, 1))
-    rank = pagerank(len(nodes), a, b, np.array(list(edges.values())), r.damping)
-    scores = [float(rank[nodes[i]]) if i in nodes else 0.0 for i in range(n)]
-    wanted = set(query)
-    return [s * (1 + len(wanted & set(ts)) / len(wanted)) if has_query and wanted else s for s, ts in zip(scores, chunks)]
-
-
-def _semantic_edges(chunks: list[list[str]], least: float) -> dict[tuple[str, str], float]:
-    counts: dict[str, dict[int, int]] = defaultdict(dict)
-    for i, ts in enumerate(chunks):
-        for t, c in Counter(ts).items():
-            counts[t][i] = c
-    words = sorted(counts)
-    norm = {t: np.sqrt(sum(c * c for c in counts[t].values())) for t in words}
-    by_chunk = defaultdict(list)
-    for t in words:
-        for i, c in counts[t].items():
-            by_chunk[i].append((t, c))
-    dots: dict[tuple[str, str], float] = defaultdict(float)
-    for held in by_chunk.values():
-        for k, (t, c) in enumerate(held):
-            for u, x in held[:k]:
-                dots[u, t] += c * x
-    return {e: v / (norm[e[0]] * norm[e[1]]) for e, v in dots.items() if v / (norm[e[0]] * norm[e[1]]) >= least}
+def _topic(b: _Batch, lower: _Batch, has: np.ndarray, r: Ranker) -> np.ndarray:
+    n = lower.chunks + has
+    in_query = lower.wanted.astype(np.int64)
+    df = np.bincount(lower.own, minlength=lower.words) + in_query
+    u = _unit_tfidf(lower.own_chunk, n[lower.word_doc[lower.own]], df[lower.own], lower.tf, r)
+    order = np.lexsort((lower.own_chunk, lower.own))
+    pairs = _Pairs(len(b.doc))
+    pairs.add_within(lower.own[order], lower.own_chunk[order], u[order])
+    x, y, w = pairs.sums()
+    close = w >= r.least
+    rank = _graph_ranks(b.doc, x[close], y[close], w[close], r.damping)
+    linked = np.bincount(b.doc[x[close]], minlength=b.docs) > 0
+    over = np.bincount(b.own_chunk, b.wanted[b.own], len(b.doc))
+    boost = np.where(b.asks[b.doc] > 0, 1 + over / np.maximum(1, b.asks[b.doc]), 1.0)
+    return np.where(linked[b.doc], rank * boost, 1 / np.maximum(1, b.chunks)[b.doc])
 
 
-def scores(chunks: list[list[str]], query: list[str], has_query: bool, r: Ranker, lower: list[list[str]] | None = None, low_query: list[str] | None = None) -> list[float]:
-    """A score for each chunk, given its tokens. An empty word graph gives zeros."""
-    if not chunks:
-        return []
-    wanted = set(query) if has_query else set()
+def _semantic(b: _Batch, r: Ranker) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if r.similarity is None:
+        pairs = _Pairs(b.words)
+        pairs.add_within(b.own_chunk, b.own, b.tf.astype(float))
+        x, y, w = pairs.sums()
+        norm = np.sqrt(np.bincount(b.own, b.tf.astype(float) ** 2, b.words))
+        return x, y, w / (norm[x] * norm[y]) if len(w) else w
+    found = []
+    for d in range(b.docs):
+        mine = np.flatnonzero(b.word_doc == d)
+        if len(mine):
+            rows = np.flatnonzero(b.doc[b.own_chunk] == d)
+            counts = np.zeros((len(mine), int(b.chunks[d])))
+            counts[b.own[rows] - mine[0], b.own_chunk[rows] - b.starts[d]] = b.tf[rows]
+            like = np.asarray(r.similarity(counts), float)
+            i, j = np.triu_indices(len(mine), 1)
+            found.append((mine[i], mine[j], like[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _ranked(chunks: pa.Array, query: pa.Array, has: np.ndarray, lower: pa.Array, low_query: pa.Array, r: Ranker) -> np.ndarray:
+    """A score for each chunk of all documents."""
+    b = _Batch(chunks, query, has)
+    if not len(b.doc):
+        return np.zeros(0)
     if r.kind == "topicrank":
-        return _topic(chunks, lower if lower is not None else chunks, query, low_query if low_query is not None else query, has_query, r)
-    weights: dict[str, float] = {}
-    local: list[dict[str, float]] = [{} for _ in chunks]
-    if r.kind == "singlerank":
-        weights = _unit_tfidf(chunks[:1])[0]
+        return _topic(b, _Batch(lower, low_query, has), has, r)
+    weight, local = np.zeros(b.words), np.ones(len(b.own))
+    df = np.bincount(b.own, minlength=b.words)
+    if r.kind == "singlerank":  # of the first chunk alone
+        rows = np.flatnonzero(b.own_chunk == b.starts[b.doc[b.own_chunk]])
+        weight[b.own[rows]] = _unit_tfidf(b.own_chunk[rows], np.ones(len(rows)), np.ones(len(rows)), b.tf[rows], r)
     elif r.kind == "positionrank":
-        local = [_places(ts, r.decay, True) for ts in chunks]
+        local = b.places(r.decay, True)
     elif r.kind == "combined":
         if r.tfidf:
-            total: dict[str, float] = defaultdict(float)
-            for v in _unit_tfidf(chunks):
-                for t, x in v.items():
-                    total[t] += x
-            weights = {t: x / len(chunks) for t, x in total.items()}
+            u = _unit_tfidf(b.own_chunk, b.chunks[b.word_doc[b.own]], df[b.own], b.tf, r)
+            weight = np.bincount(b.own, u, b.words) / b.chunks[b.word_doc]
         if r.position:
-            local = [_places(ts, r.decay, False) for ts in chunks]
-    edges: dict[tuple[str, str], float] = defaultdict(float)
+            local = b.places(r.decay, False)
     if r.kind == "semantic":
-        edges = _semantic_edges(chunks, r.least)
+        x, y, w = _semantic(b, r)
+    else:
+        pairs = _Pairs(b.words)
+        for d in range(1, r.window + 1):
+            i = np.flatnonzero((b.chunk[d:] == b.chunk[:-d]) & (b.word[d:] != b.word[:-d])) if d < len(b.word) else np.zeros(0, np.int64)
+            t, u = b.word[i], b.word[i + d]
+            w = np.full(len(i), 1 / d)
+            if r.kind == "singlerank":
+                w *= weight[t] * weight[u]
+            elif r.kind == "positionrank":
+                w *= local[b.at[i]] * local[b.at[i + d]]
+            elif r.kind == "combined":
+                w = (weight[t] * weight[u] if r.tfidf else 1.0) * (w if r.position else np.ones(len(i)))
+            if r.kind != "textrank":
+                w = np.where(b.wanted[t] | b.wanted[u], 2 * w, w)
+                t, u, w = (v[w >= r.least] for v in (t, u, w))  # each occurrence must reach it
+            pairs.add(t, u, w)
+        x, y, w = pairs.sums()
+    if r.kind in ("textrank", "semantic"):
+        x, y, w = (v[w >= r.least] for v in (x, y, w))  # the sum must reach it
+    rank = _graph_ranks(b.word_doc, x, y, w, r.damping)[b.own]
+    wanted, asked = b.wanted[b.own], has[b.doc[b.own_chunk]]
+    if r.kind in ("textrank", "semantic"):
+        value = rank * (~asked | wanted)
+    elif r.kind in ("singlerank", "positionrank"):
+        value = rank * local * np.where(wanted, 3, 1)
     else:
-        for ts, here in zip(chunks, local):
-            for i, t in enumerate(ts):
-                for d, u in enumerate(ts[i + 1 : i + 1 + r.window], 1):
-                    if t == u:
-                        continue
-                    if r.kind == "textrank":
-                        w = 1 / d
-                    elif r.kind == "singlerank":
-                        w = weights.get(t, 0) * weights.get(u, 0) / d
-                    elif r.kind == "positionrank":
-                        w = here[t] * here[u] / d
-                    else:
-                        w = (weights.get(t, 0) * weights.get(u, 0) if r.tfidf else 1.0) * (1 / d if r.position else 1.0)
-                    if r.kind != "textrank":
-                        if t in wanted or u in wanted:
-                            w *= 2
-                        if w < r.least:  # each occurrence must reach it
-                            continue
-                    edges[(t, u) if t <= u else (u, t)] += w
-        if r.kind == "textrank":
-            edges = {e: w for e, w in edges.items() if w >= r.least}  # the sum must reach it
-    if not edges:
-        return [0.0] * len(chunks)
-    rank = _word_ranks(edges, r.damping)
-    out = []
-    for ts, here in zip(chunks, local):
-        own = list(dict.fromkeys(ts))
-        if r.kind in ("textrank", "semantic"):
-            out.append(sum(rank.get(t, 0.0) for t in own if not has_query or t in wanted))
-        elif r.kind == "singlerank":
-            out.append(sum(rank.get(t, 0.0) * (3 if t in wanted else 1) for t in own))
-        elif r.kind == "positionrank":
-            out.append(sum(rank.get(t, 0.0) * here[t] * (3 if t in wanted else 1) for t in own))
-        else:
-            s = sum(rank.get(t, 0.0) * ((weights.get(t, 1) if r.tfidf else 1) * (here.get(t, 1) if r.position else 1) + (2 if t in wanted else 0)) for t in own)
-            out.append(s / len(own) if own else 0.0)
-    return [float(s) for s in out]
+        value = rank * ((weight[b.own] if r.tfidf else 1) * local + np.where(wanted, 2, 0))
+    out = np.bincount(b.own_chunk, value, len(b.doc))
+    return out / np.maximum(1, b.distinct) if r.kind == "combined" else out
+
+
+def batch_scores(chunks: pa.Array, query: pa.Array, has: pa.Array, lower: pa.Array, low_query: pa.Array, r: Ranker) -> pa.Array:
+    """list<double>: for each document a score for each of its chunks, given their tokens and those of its query. Words without an
+    edge and graphs whose ranks don't converge give zeros."""
+    has, n = np.asarray(has.fill_null(False), bool), _flat(chunks)
+    tokens = np.concatenate([[0], np.cumsum(_flat(chunks.flatten()))])[np.concatenate([[0], np.cumsum(n)])]
+    out, i = [], 0
+    while i < len(chunks):
+        j = max(i + 1, int(np.searchsorted(tokens, tokens[i] + _MOST, side="right")) - 1)
+        s = slice(i, j)
+        out.append(_ranked(chunks.slice(i, j - i), query.slice(i, j - i), has[s], lower.slice(i, j - i), low_query.slice(i, j - i), r))
+        i = j
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0)))
+
+
+def scores(chunks: list[list[str]], query: list[str], has_query: bool, r: Ranker, lower: list[list[str]] | None = None, low_query: list[str] | None = None) -> list[float]:
+    """A score for each chunk of one document."""
+    deep, flat = pa.list_(pa.list_(pa.string())), pa.list_(pa.string())
+    tokens = pa.array([chunks], deep), pa.array([query], flat)
+    low = pa.array([chunks if lower is None else lower], deep), pa.array([query if low_query is None else low_query], flat)
+    return batch_scores(*tokens, pa.array([has_query]), *low, r).to_pylist()[0]
 
 
 def graph_scores(ready: DataFrame, keys: list[str], ranker: Ranker) -> DataFrame:
-    """keys, scored array<struct<idx, score, chunk>>. ready is from terms.prepared(); its other columns aren't sent to Python."""
+    """keys, scored array<struct<idx, score, chunk>>. ready is from terms.prepared(); its other columns aren't sent to Python.
+
+    Scores are rounded to 12 places before chunks are ranked, as sums of doubles depend on their order and ties must not."""
 
     ship(ready.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def run(chunks: pd.Series, query: pd.Series, has: pd.Series, lower: pd.Series, low_query: pd.Series) -> pd.Series:
-        return pd.Series([scores([list(c) for c in cs], list(q), bool(h), ranker, [list(c) for c in ls], list(lq)) for cs, q, h, ls, lq in zip(chunks, query, has, lower, low_query)])
+    @F.arrow_udf("array<double>")
+    def run(chunks: pa.Array, query: pa.Array, has: pa.Array, lower: pa.Array, low_query: pa.Array) -> pa.Array:
+        return batch_scores(chunks, query, has, lower, low_query, ranker)
 
     topic = ranker.kind == "topicrank"
     none = F.array().cast("array<array<string>>")
     lower = F.col("lower_tokens") if topic else none
     low_query = F.col("lower_query") if topic else F.array().cast("array<string>")
     d = ready.withColumn("scores", run("chunk_tokens", "query_tokens", "has_query", lower, low_query))
-    return d.select(*keys, F.zip_with(F.transform("chunks", lambda c, i: F.struct(i.alias("idx"), c.alias("chunk"))), "scores", lambda c, s: F.struct(c["idx"].alias("idx"), s.alias("score"), c["chunk"].alias("chunk"))).alias("scored"))
+    return d.select(*keys, F.zip_with(F.transform("chunks", lambda c, i: F.struct(i.alias("idx"), c.alias("chunk"))), "scores", lambda c, s: F.struct(c["idx"].alias("idx"), F.round(s, 12).alias("score"), c["chunk"].alias("chunk"))).alias("scored"))
 
 
-def pagerank_rounds(edges: DataFrame, keys: list[str], rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank_rounds(edges: DataFrame, keys: list[str], rounds: int = 10, damping: float = 0.85, cut: int = 5) -> DataFrame:
     """keys, token, rank: PageRank of every document's graph at once, a fixed number of rounds, for graphs too large for one task.
 
     edges: keys, src, dst, weight, each pair once. Each round is one join and one aggregate over rows that stay partitioned by keys.
+    Shares are written once to the shared folder, and every `cut` rounds the ranks, so that plans don't grow.
     """
     both = edges.select(*keys, "src", "dst", "weight").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).repartition(*keys)
-    share = both.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "src"))).drop("weight")
+    share = table(both.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "src"))).drop("weight"), "shares")
     size = share.groupBy(*keys).agg(F.countDistinct("src").alias("n"))
     nodes = share.select(*keys, F.col("src").alias("token")).distinct().join(size, keys)
-    ranks = nodes.withColumn("rank", 1 / F.col("n"))
-    for _ in range(rounds):
+    ranks, last = nodes.withColumn("rank", 1 / F.col("n")), None
+    for k in range(1, rounds + 1):
         got = share.join(ranks.withColumnRenamed("token", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("token"), "n").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         ranks = got.select(*keys, "token", "n", (damping * F.col("in") + (1 - damping) / F.col("n")).alias("rank"))
+        if k % cut == 0 and k < rounds:
+            ranks, old = table(ranks, "ranks"), last
+            last = ranks
+            if old is not None:
+                drop(old)
     return ranks.select(*keys, "token", "rank")

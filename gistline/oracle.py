@@ -152,13 +152,79 @@ edges AS (SELECT a.doc_id, least(a.token, b.token) AS src, greatest(a.token, b.t
 def _rank_rounds(rounds: int) -> str:
     out = """,
 both_ AS (SELECT doc_id, src, dst, weight FROM edges UNION ALL SELECT doc_id, dst, src, weight FROM edges),
-shares AS (SELECT doc_id, src, dst, weight / sum(weight) OVER (PARTITION BY doc_id, src) AS share FROM both_),
+shares AS MATERIALIZED (SELECT doc_id, src, dst, weight / sum(weight) OVER (PARTITION BY doc_id, src) AS share FROM both_),
 r0 AS (SELECT DISTINCT doc_id, src AS token, 1.0::DOUBLE / c.n AS rank, c.n FROM both_ JOIN (SELECT doc_id, count(DISTINCT src) AS n FROM both_ GROUP BY 1) c USING (doc_id))"""
     for k in range(rounds):
         out += f",\nr{k + 1} AS (SELECT s.doc_id, dst AS token, 0.85::DOUBLE * sum(rank * share) + 0.15::DOUBLE / any_value(n) AS rank, any_value(n) AS n FROM shares s JOIN r{k} r ON s.doc_id = r.doc_id AND s.src = r.token GROUP BY 1, 2)"
     return out
 
 
+#: From edges(doc_id, src, dst, weight): ranked(doc_id, token, rank), iterated for each document until its ranks change by less than
+#: 1e-6 for each of its nodes on the average, 100 rounds at most.
+_CONVERGED = """,
+both_ AS (SELECT doc_id, src, dst, weight FROM edges UNION ALL SELECT doc_id, dst, src, weight FROM edges),
+shares AS MATERIALIZED (SELECT doc_id, src, dst, weight / sum(weight) OVER (PARTITION BY doc_id, src) AS share FROM both_),
+rounds AS (
+  SELECT doc_id, src AS token, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS rank, count(*) OVER (PARTITION BY doc_id) AS n, 0 AS round, false AS done FROM (SELECT DISTINCT doc_id, src FROM shares)
+  UNION ALL
+  SELECT doc_id, token, rank, n, round, sum(abs(rank - was)) OVER (PARTITION BY doc_id) < n * 1e-6::DOUBLE FROM (
+    SELECT g.doc_id, g.token, g.rank, w.n, w.round + 1 AS round, w.rank AS was
+    FROM (SELECT s.doc_id, s.dst AS token, 0.85::DOUBLE * sum(r.rank * s.share) + 0.15::DOUBLE / any_value(r.n) AS rank FROM rounds r JOIN shares s ON s.doc_id = r.doc_id AND s.src = r.token WHERE NOT r.done AND r.round < 100 GROUP BY 1, 2) g
+    JOIN rounds w ON w.doc_id = g.doc_id AND w.token = g.token
+  )
+),
+ranked AS (SELECT doc_id, token, rank FROM rounds WHERE done)"""
+_FIRST = "first_ AS (SELECT doc_id, idx, token, sum(1.0::DOUBLE / p) * pow(0.95::DOUBLE, min(p) - 1) AS pw FROM pos GROUP BY 1, 2, 3)"
+_EACH = "each_ AS (SELECT doc_id, idx, token, sum(1.0::DOUBLE / p * pow(0.95::DOUBLE, p - 1)) AS pw FROM pos GROUP BY 1, 2, 3)"
+_MEAN = "raw_ AS (SELECT doc_id, idx, token, s.n, tf * (ln((1 + s.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token) JOIN stat s USING (doc_id)), unit AS (SELECT doc_id, token, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM raw_), mean_ AS (SELECT doc_id, token, sum(u) / any_value(n) AS weight FROM unit GROUP BY 1, 2)"
+_NEAR = "near AS (SELECT a.doc_id, a.idx, a.token AS a, b.token AS b, b.p - a.p AS d FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.idx = b.idx AND b.p IN (a.p + 1, a.p + 2, a.p + 3) AND a.token <> b.token)"
+
+
+def _occurrences(weight: str, joins: str = "") -> str:
+    """edges, of occurrences of which each must reach 0.1; those with a token of the query count twice."""
+    return f"edges AS (SELECT doc_id, least(a, b) AS src, greatest(a, b) AS dst, sum(w) AS weight FROM (SELECT doc_id, a, b, {weight} * CASE WHEN list_contains(qs, a) OR list_contains(qs, b) THEN 2 ELSE 1 END AS w FROM near JOIN asked USING (doc_id) {joins}) WHERE w >= 0.1 GROUP BY ALL)"
+
+
+def _summed(value: str, joins: str = "", whole: str = "{}") -> str:
+    """The score of each chunk: the sum of a value over its distinct tokens."""
+    total = f"coalesce(sum(coalesce(rank, 0) * ({value})), 0)"
+    return f" SELECT t.doc_id, t.idx AS chunk_idx, round({whole.format(total)}, 6) AS score FROM toks t JOIN asked USING (doc_id) LEFT JOIN tf USING (doc_id, idx) LEFT JOIN ranked USING (doc_id, token) {joins} GROUP BY 1, 2"
+
+
+_ASKED = "list_contains(qs, token)"
+_ONLY = f"CASE WHEN query = '' OR {_ASKED} THEN 1 ELSE 0 END"
+
+
+def _word_rankers(toks: str) -> dict[str, str]:
+    """The graph rankers' scores; toks: the query's beginning, up to the tokens' tables."""
+    out, twice = {}, f"CASE WHEN {_ASKED} THEN 3 ELSE 1 END"
+    by_token = lambda t, name: "".join(f" LEFT JOIN {t} {name}{x} ON {name}{x}.doc_id = near.doc_id AND {name}{x}.token = {x}" + (f" AND {name}{x}.idx = near.idx" if t == "first_" else "") for x in "ab")
+    occ = lambda weight, joins="": _occurrences(weight, joins).replace("SELECT doc_id, a, b", "SELECT near.doc_id, a, b")
+    out["textrank"] = f"{toks}, {_EDGES}{_CONVERGED}{_summed(_ONLY)}"
+    lead = "lead_ AS (SELECT doc_id, token, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS weight FROM tf WHERE idx = 0)"
+    out["singlerank"] = f"{toks}, {_POS}, {_NEAR}, {lead}, {occ('coalesce(wa.weight, 0) * coalesce(wb.weight, 0) / d', by_token('lead_', 'w'))}{_CONVERGED}{_summed(twice)}"
+    out["positionrank"] = f"{toks}, {_POS}, {_NEAR}, {_FIRST}, {occ('wa.pw * wb.pw / d', by_token('first_', 'w'))}{_CONVERGED}{_summed(f'pw * {twice}', 'LEFT JOIN first_ USING (doc_id, idx, token)')}"
+    for flags in ("ff", "tf", "ft", "tt"):
+        tfidf, place = flags[0] == "t", flags[1] == "t"
+        weight = " * ".join((["wa.weight * wb.weight"] if tfidf else []) + (["1.0::DOUBLE / d"] if place else [])) or "1.0::DOUBLE"
+        value = " * ".join((["weight"] if tfidf else []) + (["pw"] if place else [])) or "1"
+        more = ("LEFT JOIN mean_ USING (doc_id, token) " if tfidf else "") + ("LEFT JOIN each_ USING (doc_id, idx, token)" if place else "")
+        ctes = ", ".join([_POS, _NEAR, *([_MEAN] if tfidf else []), *([_EACH] if place else [])])
+        out[f"combined_{flags}"] = f"{toks}, {ctes}, {occ(weight, by_token('mean_', 'w') if tfidf else '')}{_CONVERGED}{_summed(f'{value} + CASE WHEN {_ASKED} THEN 2 ELSE 0 END', more, '{} / greatest(count(token), 1)')}"
+    like = "norms AS (SELECT doc_id, token, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY 1, 2), edges AS (SELECT d.doc_id, src, dst, dot / (x.norm * y.norm) AS weight FROM (SELECT a.doc_id, a.token AS src, b.token AS dst, sum(a.tf * b.tf)::DOUBLE AS dot FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.token < b.token GROUP BY ALL) d JOIN norms x ON x.doc_id = d.doc_id AND x.token = src JOIN norms y ON y.doc_id = d.doc_id AND y.token = dst WHERE dot / (x.norm * y.norm) >= 0.1)"
+    out["semantic_textrank"] = f"{toks}, {like}{_CONVERGED}{_summed(_ONLY)}"
+    topic = f"""low AS (SELECT doc_id, idx, token, count(*) AS tf FROM (SELECT doc_id, idx, unnest({_tokens('lower(chunk)')}) AS token FROM toks) GROUP BY ALL),
+lowq AS (SELECT doc_id, unnest(list_distinct({_tokens('lower(query)')})) AS token, 1 AS q FROM asked WHERE query <> ''),
+sized AS (SELECT doc_id, n + CASE WHEN query = '' THEN 0 ELSE 1 END AS n FROM stat JOIN asked USING (doc_id)),
+lowdf AS (SELECT doc_id, token, count(*) + coalesce(any_value(q), 0) AS df FROM low LEFT JOIN lowq USING (doc_id, token) GROUP BY 1, 2),
+lowraw AS (SELECT doc_id, idx, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM low JOIN lowdf USING (doc_id, token) JOIN sized USING (doc_id)),
+vec AS (SELECT doc_id, idx, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM lowraw),
+edges AS (SELECT a.doc_id, a.idx AS src, b.idx AS dst, sum(a.u * b.u) AS weight FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.token = b.token AND a.idx < b.idx GROUP BY ALL HAVING weight >= 0.1)"""
+    boost = "CASE WHEN query <> '' AND len(qs) > 0 THEN 1 + len(list_intersect(list_distinct(ts), qs)) / len(qs) ELSE 1 END"
+    out["topicrank"] = f"{toks}, {topic}{_CONVERGED} SELECT t.doc_id, t.idx AS chunk_idx, round(CASE WHEN t.doc_id IN (SELECT doc_id FROM edges) THEN coalesce(rank, 0) * {boost} ELSE 1.0::DOUBLE / t.n END, 6) AS score FROM toks t JOIN asked USING (doc_id) LEFT JOIN ranked r ON r.doc_id = t.doc_id AND r.token = t.idx"
+    return out
+
+
 def _html() -> str:
     esc = "x"
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
@@ -222,7 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "position_weights_first": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p) * pow(0.95::DOUBLE, min(p) - 1), 9) AS weight FROM pos GROUP BY 1, 2, 3",
         "position_weights_each": f"WITH RECURSIVE {token_ctes(small)}, {_POS} SELECT doc_id, idx AS chunk_idx, token, round(sum(1.0::DOUBLE / p * pow(0.95::DOUBLE, p - 1)), 9) AS weight FROM pos GROUP BY 1, 2, 3",
         "tfidf_mean": toks + ", raw_ AS (SELECT doc_id, idx, token, s.n, tf * (ln((1 + s.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token) JOIN stat s USING (doc_id)), unit AS (SELECT doc_id, token, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM raw_) SELECT doc_id, token, round(sum(u) / any_value(n), 9) AS weight FROM unit GROUP BY 1, 2",
-        "pagerank_fixed": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES}{_rank_rounds(3)} SELECT doc_id, token, round(rank, 8) AS rank FROM r3",
+        "pagerank_fixed": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES}{_rank_rounds(10)} SELECT doc_id, token, round(rank, 8) AS rank FROM r10",
+        **_word_rankers(f"WITH RECURSIVE {token_ctes(small)}"),
         "embedding_dot": f"SELECT a.vec_id, round({cos}, 4) AS dot {near}",
         "embedding_cosine": f"SELECT a.vec_id, round({cos} / ({norm('a')} * {norm('b')}), 4) AS cosine {near}",
         "function_usage": 'SELECT event_type AS func, count(*) AS "count", round(sum(value), 4) AS total_time, round(avg(value), 4) AS mean_time, round(max(value), 4) AS max_time, max(ts) AS last_used FROM events GROUP BY 1',

@@ -199,7 +199,7 @@ def tfidf_mean(spark, sf_dir):
 
 def pagerank_fixed(spark, sf_dir):
     edges = terms.cooccurrence(_ready(spark, sf_dir), KEY)
-    return graph.pagerank_rounds(edges, KEY, 3).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank_rounds(edges, KEY).withColumn("rank", F.round("rank", 8))
 
 
 def _ranked(method):
