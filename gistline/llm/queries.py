@@ -21,7 +21,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = warc.write_warc(_read(spark, sf_dir, "pages"), shared.scratch(spark, "warc"))
+    files = warc.write_warc(_read(spark, sf_dir, "pages"), shared.scratch(spark, "warc"), True)
     return warc.pages_of(warc.read_warc(spark, files))
 
 

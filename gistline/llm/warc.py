@@ -1,9 +1,11 @@
 """WARC files read in splits, with record boundaries verified as a chain.
 
 Each task searches its split of a file for record magic ("WARC/1.x", or a gzip member's in .gz files) at every byte, and emits
-each candidate's offset and its successor's, by Content-Length or the member's end. Pointer jumping over a file's candidates
-then keeps those reachable from the file's start, in as many rounds as the logarithm of their number; magic inside
-payloads is on no such chain. Only the ranges of reachable records are read again, for their contents.
+each candidate's offset and its successor's, by Content-Length or the member's end. Within a split, pointer jumping tells
+where each candidate's chain leaves it; the few places where chains enter a split are linked to where they leave it, and
+pointer jumping over a file's links from its start tells which are reached. From those the records of each split
+follow; magic inside payloads is on no such chain. Only the ranges of reachable records are read again, for their contents.
+No task holds more than one split's candidates, or a file's links: some for each split, however many records there are.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def _member(f, at: int, size: int) -> int | None:
 
 
 def _candidates(batches):
-    """Rows (path, size, offset, next) for the splits (path, size, start, stop)."""
+    """Rows (path, size, start, at, next, leaves) for the splits (path, size, start, stop): candidates, their successors, and
+    where chains of them leave the split."""
     for b in batches:
         for path, size, start, stop in zip(*(c.to_pylist() for c in b.columns)):
             fs, p = filesystem(path)
@@ -96,32 +99,63 @@ def _candidates(batches):
                         head = _head(f, start + m.start(), size, data, start)
                         if head and (end := sum(head) + 4) <= size:
                             at.append(start + m.start()), to.append(end)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.full(n, size)), pa.array(at, pa.int64()), pa.array(to, pa.int64())], ["path", "size", "offset", "next"])
+            leaves = np.unique(ends(np.array(at, np.int64), np.array(to, np.int64)))
+            leaves = leaves[leaves >= stop]
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (at, to, leaves)]
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([start]), *lists], ["path", "size", "start", "at", "next", "leaves"])
 
 
-def reachable(offset: np.ndarray, next_: np.ndarray) -> np.ndarray:
-    """Which of the ascending offsets the chain from 0 visits, by pointer jumping."""
+def _jumps(offset: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """The place of each one's successor among the ascending offsets; their number where it isn't there."""
     n = len(offset)
-    if not n or offset[0]:
-        return np.zeros(n, bool)
     jump = np.searchsorted(offset, next_)
-    jump = np.where((jump < n) & (offset[np.minimum(jump, n - 1)] == next_), jump, n)
-    jump = np.append(jump, n)
-    seen = np.zeros(n + 1, bool)
-    seen[0] = True
+    return np.where((jump < n) & (offset[np.minimum(jump, n - 1)] == next_), jump, n) if n else jump
+
+
+def ends(offset: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """Where the chain from each of the ascending offsets ends, that is the first successor that is none of them, by pointer jumping."""
+    n = len(offset)
+    jump = np.append(_jumps(offset, next_), n)
+    last = np.arange(n + 1)
+    while True:  # last: the furthest reached; jump: beyond it
+        ahead = jump[last]
+        if (ahead == n).all():
+            return next_[last[:n]]
+        last = np.where(ahead == n, last, ahead)
+        last = last[last]
+
+
+def reachable(offset: np.ndarray, next_: np.ndarray, entries: np.ndarray | None = None) -> np.ndarray:
+    """Which of the ascending offsets the chains from the entries (by default, from 0) visit, by pointer jumping."""
+    n = len(offset)
+    seen = np.append(np.isin(offset, np.zeros(1, np.int64) if entries is None else entries), True)
+    jump = np.append(_jumps(offset, next_), n)
     while True:
         ahead = jump[np.flatnonzero(seen)]
         if seen[ahead].all():
             return seen[:n]
         seen[ahead] = True
-        seen[n] = True
         jump = jump[jump]
 
 
+def _arrays(b: pa.RecordBatch, *names: str):
+    """A tuple of numpy arrays of the list columns, row by row."""
+    columns = [b.column(n) for n in names]
+    for i in range(b.num_rows):
+        yield tuple(c[i].values.to_numpy(zero_copy_only=False) if c[i].is_valid else np.zeros(0, np.int64) for c in columns)
+
+
+def _links(batches):
+    """Rows (path, entry, leaves): where the chain of each place of entry leaves its split."""
+    for b in batches:
+        for path, (at, to, entries) in zip(b.column("path").to_pylist(), _arrays(b, "at", "next", "entries")):
+            known = np.intersect1d(at, entries)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(known), pa.string()), pa.array(known), pa.array(ends(at, to)[np.searchsorted(at, known)])], ["path", "offset", "next"])
+
+
 def _chain(t: pa.Table) -> pa.Table:
     t = t.sort_by("offset")
-    return t.filter(pa.array(reachable(t.column("offset").to_numpy(), t.column("next").to_numpy()))).select(["path", "offset", "next"])
+    return t.filter(pa.array(reachable(t.column("offset").to_numpy(), t.column("next").to_numpy()))).select(["path", "offset"])
 
 
 def _parse(path: str, at: int, raw: bytes) -> tuple:
@@ -147,21 +181,23 @@ def _parse(path: str, at: int, raw: bytes) -> tuple:
 
 
 def _records(batches):
-    """The records at (path, offset, next), which come in order."""
+    """The records of splits' chains (path, at, next, entries)."""
     types = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), *((c, pa.string()) for c in _RECORD_NAMES[3:8]), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("payload", pa.binary())])
     opened, f = None, None
     for b in batches:
         rows, held = [], 0
-        for path, at, to in zip(*(c.to_pylist() for c in b.columns)):
+        for path, (offsets, next_, entries) in zip(b.column("path").to_pylist(), _arrays(b, "at", "next", "entries")):
             if path != opened:
                 fs, p = filesystem(path)
                 opened, f = path, fs.open_input_file(p)
-            f.seek(at)
-            rows.append(_parse(path, at, f.read(to - at)))
-            held += len(rows[-1][-1])
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
-                rows, held = [], 0
+            on = reachable(offsets, next_, entries)
+            for at, to in zip(offsets[on].tolist(), next_[on].tolist()):
+                f.seek(at)
+                rows.append(_parse(path, at, f.read(to - at)))
+                held += len(rows[-1][-1])
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
 
@@ -175,12 +211,23 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
     """
     ship(spark)
     f = files.select(column(files, "path").cast("string").alias("path"), column(files, "size").cast("long").alias("size")).filter("path is not null and size > 0").groupBy("path").agg(F.max("size").alias("size"))
+    f = table(f, "warc-list")
+    total = f.agg(F.sum("size")).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-total // max(split_bytes, SPLIT_BYTES)))  # by number, so that small shuffles of offsets don't make few tasks of much reading
     cuts = f.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = cuts.select("path", "size", "start", F.least("size", F.col("start") + split_bytes).alias("stop")).repartition(F.col("path"), F.col("start"))
-    found = splits.mapInArrow(_candidates, "path string, size long, offset long, next long")
-    chain = found.groupBy("path").applyInArrow(_chain, "path string, offset long, next long")
-    spread = chain.repartition(F.col("path"), F.floor(F.col("offset") / split_bytes)).sortWithinPartitions("path", "offset")
-    return spread.mapInArrow(_records, RECORD)
+    splits = cuts.select("path", "size", "start", F.least("size", F.col("start") + split_bytes).alias("stop")).repartition(n, "path", "start")
+    found = table(splits.mapInArrow(_candidates, "path string, size long, start long, at array<long>, next array<long>, leaves array<long>"), "warc-candidates")
+
+    def entered(by: DataFrame) -> DataFrame:
+        """The splits with a chain that is entered at one of by's offsets, and those offsets."""
+        e = by.select("path", "offset", (F.floor(F.col("offset") / split_bytes) * split_bytes).cast("long").alias("start")).groupBy("path", "start").agg(F.collect_set("offset").alias("entries"))
+        return found.join(e, ["path", "start"]).repartition(n, "path", "start").select("path", "at", "next", "entries")
+
+    starts = f.select("path", F.lit(0).cast("long").alias("offset"))
+    entries = found.select("path", F.explode("leaves").alias("offset")).union(starts).distinct()
+    links = entered(entries).mapInArrow(_links, "path string, offset long, next long")
+    chain = table(links.groupBy("path").applyInArrow(_chain, "path string, offset long"), "warc-chain")
+    return entered(chain).mapInArrow(_records, RECORD)
 
 
 # writing
@@ -192,33 +239,45 @@ def _record(kind: str, block: bytes, record_id: str, uri: str | None, content_ty
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page_id: int | None, url: str | None, html: str | None):
-    """A page's response; for every page a resource before it, too, whose payload is that whole record under another name."""
+def page_records(page_id: int | None, url: str | None, html: str | None, pack=lambda r: r):
+    """A page's response; for every page a resource before it, too, whose payload is that whole record under another name.
+    pack makes a record of a file: for compressed ones, a gzip member, as which the decoy then stands in the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "").encode()
     none = ("X-Null: 1",) if html is None else ()
     decoy = _record("response", http, f"<urn:page:{'decoy' if page_id is None else -1 - page_id}>", url, "application/http; msgtype=response", none)
-    yield _record("resource", decoy, f"<urn:copy:{'' if page_id is None else page_id}>", url, "application/octet-stream")
+    yield _record("resource", pack(decoy), f"<urn:copy:{'' if page_id is None else page_id}>", url, "application/octet-stream")
     yield _record("response", http, f"<urn:page:{'' if page_id is None else page_id}>", url, "application/http; msgtype=response", none)
 
 
-def write_warc(pages: DataFrame, uri: str, compress: bool = False) -> DataFrame:
-    """(path, size) of new files under uri, one for each task with rows, with the records of pages (page_id, url, html)."""
+def write_warc(pages: DataFrame, uri: str, compress: bool | None = False) -> DataFrame:
+    """(path, size) of new files under uri, one for each task with rows, with the records of pages (page_id, url, html).
+
+    compress None: every other task's file is a .warc.gz. Nulls in page_id, url and html come back as nulls (control characters of a
+    url as %XX); rows repeated or empty and texts of any length are written as they are, an empty table gives no file. Other columns
+    of pages, whatever their names, don't matter.
+    """
     spark = pages.sparkSession
     ship(spark)
 
     def write(batches):
+        from pyspark import TaskContext
+
         fs, folder = filesystem(uri)
         fs.create_dir(folder, recursive=True)
-        name = f"{uuid.uuid4().hex}.warc{'.gz' if compress else ''}"
-        pack = (lambda r: gzip.compress(r, 6)) if compress else (lambda r: r)
+        gz = TaskContext.get().partitionId() % 2 == 1 if compress is None else compress
+        name = f"{uuid.uuid4().hex}.warc{'.gz' if gz else ''}"
+        pack = (lambda r, level=6: gzip.compress(r, level, mtime=0)) if gz else (lambda r, level=6: r)
         rows = 0
         with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
             out.write(pack(_record("warcinfo", b"format: WARC File Format 1.0\r\n", "<urn:info>", None, "application/warc-fields")))
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns)):
                     rows += 1
-                    for r in page_records(*row):
-                        out.write(pack(r))
+                    decoy, response = page_records(*row, pack)
+                    out.write(pack(decoy, 0) + pack(response))  # stored, so that the member in its payload lies open
+        if not rows:
+            fs.delete_file(f"{folder}/{name}")
+            return
         size = fs.get_file_info(f"{folder}/{name}").size
         yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}"]), pa.array([size], pa.int64())], ["path", "size"])
 
@@ -227,7 +286,7 @@ def write_warc(pages: DataFrame, uri: str, compress: bool = False) -> DataFrame:
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """page_id, url, html of the responses."""
+    """page_id, url, html of the responses; null where the page had a null. No records give no rows; other columns don't matter."""
     r = records.filter("warc_type = 'response'")
     html = F.when(~F.map_contains_key("headers", "x-null"), F.decode("payload", "utf-8"))
     return r.select(F.regexp_extract("record_id", r"<urn:page:(-?\d*)>", 1).try_cast("long").alias("page_id"), F.col("uri").alias("url"), html.alias("html"))
