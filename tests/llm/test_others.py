@@ -41,6 +41,20 @@ def test_whole_tokens_are_proved():
         assert tokens.merge(t.encode(), ranks) == [t.encode()]
 
 
+def test_unreachable_strings_of_the_vocabulary_are_merged():
+    ranks = {bytes([c]): c for c in range(256)} | {b"ab": 256, b"bc": 258, b"abc": 300, b"xyz": 301, b" ab": 302}
+    ranks[b"aab"] = 257  # merging "aab" makes a, ab and then aab; "xyz" has no way to be made
+    whole = tokens.whole_tokens(ranks)
+    assert {"ab", "bc", "abc", " ab", "aab"} <= whole and "xyz" not in whole
+    c = tokens.PieceCounter(ranks, whole)
+    assert c.count("abc") == (1, 1, 1) and c.count("xyz") == (3, 1, 0)
+    r = random.Random(2)
+    for _ in range(300):
+        t = "".join(r.choice(["ab", "abc", "xyz", "aab", "c", " ", "  ", "\n", "x"]) for _ in range(r.randrange(12)))
+        pieces = c.find(t)
+        assert c.count(t) == (sum(len(tokens.merge(p.encode(), ranks)) for p in pieces), len(pieces), sum(len(tokens.merge(p.encode(), ranks)) == 1 and p.encode() in ranks for p in pieces))
+
+
 def test_merge_by_heap_as_by_hand():
     r = random.Random(3)
     ranks = {bytes([c]): c for c in range(97, 100)}
@@ -90,9 +104,63 @@ def test_media_of_pages(spark):
     assert {r.media_type: r["count"] for r in n} == {None: 1, "text/plain": 4, "application/octet-stream": 8, "image/png": 8, "image/gif": 4, "application/zip": 4, "audio/wav": 4, "application/pdf": 4, "image/jpeg": 8, "video/mp4": 4, "application/gzip": 4}
 
 
+def test_media_against_a_plain_scan():
+    """Every place tried with every format's validator, for media alone and in each other, in long and repetitive payloads."""
+    r, a = random.Random(7), media.automaton()
+    t = lambda n: bytes(r.randrange(256) for _ in range(n))
+    makers = [media.make_png, media.make_gif, media.make_jpeg, media.make_wav, media.make_pdf, media.make_mp4, lambda x: media.make_zip({"a": x, "b": x[:9]}), gzip.compress]
+    for trial in range(60):
+        payload = b"".join(r.choice(makers)(r.choice(makers)(t(40)) if r.random() < 0.4 else t(60)) if r.random() < 0.6 else t(30) for _ in range(r.randrange(1, 5)))
+        ends = {w: [i for i in range(len(payload)) if payload.startswith(w.encode("latin-1"), i)] for w in media._ENDS}
+        want = []
+        for magic, back, check, kind in media.FORMATS:
+            for i in range(len(payload)):
+                if payload.startswith(magic, i + back) and (got := check(payload, i, ends)) is not None:
+                    want.append((i, got, kind) if kind else (i, *got))
+        assert sorted(f[:2] + f[3:] for f in media.media_in(a, payload)) == sorted(want)
+        for at, n, inside, _ in media.media_in(a, payload):
+            around = [w for w in want if w[0] <= at and at + n <= w[0] + w[1] and (w[0], w[1]) != (at, n)]
+            assert inside == (max(around, key=lambda w: (w[0], -w[1]))[0] if around else -1)
+    zips = media.make_zip({str(i): b"x" for i in range(300)}) * 200  # many archives of many members, and a long payload
+    assert len(media.media_in(a, zips)) == 200
+    assert media.media_in(a, b"z" * (8 << 20) + media.make_gif(b"y" * 100)) == [(8 << 20, len(media.make_gif(b"y" * 100)), -1, "image/gif")]
+
+
+def test_plain_types_and_brands():
+    kind = lambda p, d=None: media.sniff(media.automaton(), p, d)[0]["media_type"]
+    assert kind(b"<!-- " + b"long " * 50_000 + b"-->\n<!doctype html>") == kind(b" <head>") == kind(b"\xef\xbb\xbf<BODY>") == "text/html"
+    assert kind(b"words <b>in</b> markup", "text/html") == "text/html" and kind(b"words <b>in</b> markup") == kind(b"1 < 2", "text/html") == "text/plain"
+    assert kind(b"<?xml version='1.0'?><a/>") == "application/xml" and kind(b"<?xml?><html>", "application/xhtml+xml") == "text/html"
+    box = lambda k, x: (len(x) + 8).to_bytes(4) + k + x
+    iso = lambda *brands: box(b"ftyp", brands[0] + bytes(4) + b"".join(brands[1:])) + box(b"mdat", b"abc")
+    types = {(b"mif1", b"heic"): "image/heic", (b"msf1",): "image/heif", (b"mif1", b"avif"): "image/avif", (b"3gp6", b"isom"): "video/3gpp", (b"3g2a",): "video/3gpp2", (b"M4B ",): "audio/mp4", (b"f4v ",): "video/mp4", (b"MSNV", b"M4A "): "video/mp4", (b"iso3",): "video/mp4"}
+    for brands, want in types.items():
+        assert kind(iso(*brands)) == want
+    assert kind(box(b"ftyp", b"\0\1\2\3" * 2) + box(b"mdat", b"abc")) == "application/octet-stream"
+
+
 # WARC
 
 
+def test_ends_and_entries_against_walking():
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        off = np.unique(r.integers(0, 300, r.integers(0, 60)))
+        to = off + r.integers(1, 20, len(off))
+        step, entries = dict(zip(off.tolist(), to.tolist())), r.integers(0, 300, 3)
+
+        def walk(x):
+            path = []
+            while x in step:
+                path.append(x)
+                x = step[x]
+            return path, x
+
+        assert warc.ends(off, to).tolist() == [walk(x)[1] for x in off.tolist()]
+        on = {x for e in entries.tolist() for x in walk(e)[0]}
+        assert warc.reachable(off, to, entries).tolist() == [x in on for x in off.tolist()]
+
+
 def test_reachable():
     off = np.array([0, 5, 10, 12, 20, 31])
     assert warc.reachable(off, np.array([10, 12, 20, 31, 31, 40])).tolist() == [True, False, True, False, True, True]
@@ -101,7 +169,7 @@ def test_reachable():
     assert warc.reachable(np.arange(n), np.arange(1, n + 1)).all()
 
 
-@pytest.mark.parametrize("gz", [False, True])
+@pytest.mark.parametrize("gz", [False, True, None])
 def test_round_trip(spark, gz):
     tricky = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(i, f"http://a/{i}", prose(50 + i, i) + tricky * (i % 3)) for i in range(40)] + [(90, None, "x"), (91, "http://b", None), (92, "u", ""), (None, "v", "w"), (93, "long", prose(40_000, 1)), (16, "http://a/16", "twice")]
@@ -111,6 +179,19 @@ def test_round_trip(spark, gz):
     assert sorted(map(repr, got)) == sorted(map(repr, pages.collect()))
 
 
+def test_warc_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "x", 5, "p"), (1, "u", "x", 6, "q")], "page_id long, url string, html string, size int, path string")
+    files = warc.write_warc(pages, shared.scratch(spark, "w")).selectExpr("*", "'a' start", "1 at", "2 `off.set`", "'b' entries")
+    assert sorted(map(tuple, warc.pages_of(warc.read_warc(spark, files)).collect())) == [(1, "u", "x")] * 2
+    assert warc.write_warc(pages.limit(0), shared.scratch(spark, "w")).count() == 0
+
+
+def test_warc_decoy_is_a_member_of_its_own():
+    resource, response = warc.page_records(3, "u", "y" * 500, gzip.compress)
+    decoy = resource.partition(b"\r\n\r\n")[2][:-4]
+    assert gzip.decompress(decoy).startswith(b"WARC/1.0") and decoy in gzip.compress(resource, 0)
+
+
 def test_warc_decoy_of_every_whole_page():
     for page_id, html in ((7, "x" * 5000), (8, None), (None, "y")):
         resource, response = warc.page_records(page_id, "http://a", html)
@@ -258,6 +339,19 @@ def test_store(spark, docs):
     assert st.versions() == [after["version"]] and st.read().count() == 35
 
 
+def test_arrivals_fill_tiers_and_are_merged(spark, docs):
+    st = sharding.Store(spark, shared.scratch(spark, "store"), target=60_000, fanout=3)
+    d = docs([prose(100, i) for i in range(120)]).repartition(3)
+    made, plans = [], st.plan
+    st.plan = lambda shards: made.append([len(g) for g in plans(shards)]) or plans(shards)
+    last = st.append_stream(d, 5, 4)
+    assert sum(map(len, made)) >= 5 and last["version"] >= 10  # five arrivals, and merges after several of them
+    assert sorted(r.doc_id for r in st.read().collect()) == list(range(120)) and st.versions() == [last["version"]]
+    kept = {s["path"] for s in last["shards"]}
+    there = {f"data/{f.getPath().getName()}/{x.getPath().getName()}" for f in st._fs.listStatus(st._path(st.root + "/data")) for x in st._fs.listStatus(f.getPath())}
+    assert kept == there and len(kept) < 30
+
+
 def test_sharded_odd(spark, odd):
     got = sharding.sharded(odd.repartition(5), shared.scratch(spark, "s"))
     assert got.columns == odd.columns and sorted(map(repr, got.collect())) == sorted(map(repr, odd.collect()))
