@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import column, keyed, parts, ship, table, with_key
+from .shared import column, drop, keyed, parts, ship, table, with_key
 
 LEXICON = (
     "idiot idiots idiotic moron morons moronic stupid dumb dumbass trash scum scumbag clown clowns worthless loser losers pathetic disgusting "
@@ -327,6 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[M
     got = rest.mapInArrow(_feature_batches(stems), "key long, last struct<part int, y int>, x array<float>").select("key", "last.part", "last.y", "x").toPandas()
     got = got.assign(x=[tuple(v) for v in got.x]).sort_values(["key", "y", "x"])
     x = np.array(got.x.tolist(), np.float32).reshape(-1, len(FEATURES))
+    drop(texts)
     return fit(x, got.y.to_numpy(), (got.part >= 6).to_numpy()), stems
 
 
@@ -353,7 +354,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_row
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 20_000) -> DataFrame:
-    """docs without those that toxicity() finds toxic."""
+    """docs without those that toxicity() finds toxic; rows equal in doc_id and text go or stay together, and all columns stay."""
     bad = table(scored(docs, labels, max_rows).filter(F.col("p") >= threshold).select("key", "th").distinct(), "toxic")
     d, k, th = with_key(docs)
     return d.join(bad.select(F.col("key").alias(k), F.col("th").alias(th)), [k, th], "left_anti").drop(k, th)
