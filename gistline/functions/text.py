@@ -101,11 +101,12 @@ def language(text: Column | str) -> Column:
 
 
 def excerpt(text: Column | str, length: int, key: Column | str, seed: int = 0) -> Column:
-    """A stretch of `length` characters at a place drawn by the key and the seed; a shorter text whole, an empty one null."""
+    """A stretch of `length` characters at a place drawn by the MD5 of key and seed; a shorter text whole, an empty one null."""
     if length < 1:
         raise ValueError("length must be positive")
     t = _col(text)
-    at = F.pmod(F.xxhash64(_col(key), F.lit(seed)), (F.length(t) - length + 1).cast("long"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", _col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
+    at = F.pmod(drawn, (F.length(t) - length + 1).cast("long"))
     return F.when(F.length(t) > length, F.substring(t, (at + 1).cast("int"), F.lit(length))).when(t != "", t)
 
 
@@ -122,6 +123,21 @@ def highlighted(chunks: Column | str, palette: tuple[str, ...] = PALETTE) -> Col
     return F.concat(F.lit('<div style="white-space: pre-wrap">'), F.array_join(F.transform(_col(chunks), span), " "), F.lit("</div>"))
 
 
+def highlight(chunks: list, palette: tuple[str, ...] = PALETTE) -> str:
+    """highlighted() for a few chunks at hand: strings, lists of strings (joined by blanks), or objects with a page_content."""
+    import html
+
+    out = []
+    for i, c in enumerate(chunks):
+        c = getattr(c, "page_content", c)
+        c = " ".join(c) if isinstance(c, list) else c
+        if not isinstance(c, str):
+            raise TypeError(f"a chunk must be a string, a list of strings or have a page_content, not {type(c).__name__}")
+        c = html.escape(c).replace("\t", "&nbsp;" * 4).replace("\n", "<br>")
+        out.append(f'<span style="background-color: {palette[i % len(palette)]}; border-radius: 3px">{c}</span>')
+    return f'<div style="white-space: pre-wrap">{" ".join(out)}</div>'
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -239,6 +239,18 @@ def _numbered(expr: str, name: str, table: str = "documents", key: str = "doc_id
     return f"SELECT {key}, (generate_subscripts(l, 1) - 1)::INTEGER AS idx, unnest(l) AS {name} FROM (SELECT {key}, {expr} AS l FROM {table})"
 
 
+def _similarity(most: int) -> str:
+    """Both selections for every document and each part of its query, and the dot products of letter counts."""
+    letters = lambda x: "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+    ctes = score_ctes(most, _BM25, True).replace("asked AS (SELECT doc_id, b.text AS query, list_distinct(" + _tokens("b.text") + ") AS qs FROM", "asked_ AS (SELECT doc_id, unnest(" + _clean("string_split(b.text, '?')") + ") AS query FROM")
+    ctes = ctes.replace("scored AS (", f"asked AS (SELECT doc_id, query, list_distinct({_tokens('query')}) AS qs FROM (SELECT DISTINCT doc_id, query FROM asked_)),\nscored AS (", 1)
+    ctes = ctes.replace("SELECT doc_id, idx, any_value(text)", "SELECT doc_id, query, idx, any_value(text)").replace("GROUP BY doc_id, idx\n", "GROUP BY doc_id, query, idx\n").replace("PARTITION BY doc_id ORDER BY score", "PARTITION BY doc_id, query ORDER BY score")
+    picked = lambda t: f"(SELECT doc_id, query, string_agg(chunk, '' ORDER BY idx) AS made FROM {t} GROUP BY 1, 2)"
+    stopped = "(SELECT * FROM (SELECT *, sum(length(chunk)) OVER (PARTITION BY doc_id, query ORDER BY rk) AS used FROM ranks) WHERE used <= 2048)"
+    like = lambda m: f"list_dot_product({letters('lower(query)')}, {letters(f'lower({m})')})"
+    return f"WITH RECURSIVE {ctes} SELECT doc_id, query, {like('x')} AS by_length, {like('y')} AS by_topn, round(length(x) / length(text), 6) AS ratio_by_length, round(length(y) / length(text), 6) AS ratio_by_topn FROM (SELECT d.doc_id, d.query, d.text, coalesce(l.made, '') AS x, t.made AS y FROM (SELECT DISTINCT doc_id, query, text FROM ranks) d LEFT JOIN {picked(stopped)} l USING (doc_id, query) LEFT JOIN {picked('(SELECT * FROM ranks WHERE rk <= 5)')} t USING (doc_id, query))"
+
+
 def oracle_sql() -> dict[str, str]:
     small, full = 20, 150
     toks = f"WITH RECURSIVE {token_ctes(small)} "
@@ -290,6 +302,8 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_mean": toks + ", raw_ AS (SELECT doc_id, idx, token, s.n, tf * (ln((1 + s.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token) JOIN stat s USING (doc_id)), unit AS (SELECT doc_id, token, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS u FROM raw_) SELECT doc_id, token, round(sum(u) / any_value(n), 9) AS weight FROM unit GROUP BY 1, 2",
         "pagerank_fixed": f"WITH RECURSIVE {token_ctes(small)}, {_EDGES}{_rank_rounds(10)} SELECT doc_id, token, round(rank, 8) AS rank FROM r10",
         **_word_rankers(f"WITH RECURSIVE {token_ctes(small)}"),
+        "random_excerpt": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1 + (('0x' || substring(md5(doc_id || ':0'), 1, 15))::BIGINT % (length(text) - 199))::INTEGER, 200) WHEN text <> '' THEN text END AS excerpt FROM documents",
+        "query_similarity": _similarity(full),
         "embedding_dot": f"SELECT a.vec_id, round({cos}, 4) AS dot {near}",
         "embedding_cosine": f"SELECT a.vec_id, round({cos} / ({norm('a')} * {norm('b')}), 4) AS cosine {near}",
         "function_usage": 'SELECT event_type AS func, count(*) AS "count", round(sum(value), 4) AS total_time, round(avg(value), 4) AS mean_time, round(max(value), 4) AS max_time, max(ts) AS last_used FROM events GROUP BY 1',

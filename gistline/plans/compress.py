@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import OVERLAP, with_chunks
 from ..functions.stopwords import ENGLISH
-from ..functions.text import tokens
+from ..functions.text import ENDINGS, tokens
 from ..operators import graph, scoring, selection
 from ..operators.graph import Ranker
 from ..operators.terms import prepared
+from ..sources.files import PARTS, with_parts
 
 CHUNK_LENGTH = {"en": 150, "zh": 128}
 
@@ -44,6 +45,11 @@ class Options:
     stopwords: tuple[str, ...] = field(default=ENGLISH, repr=False)
     pdf: bool = False
     tokenizer: object = None  # a function from a string column to an array<string> column, instead of the English one
+    endings: str = ENDINGS  # characters that end a sentence, besides the dot
+    chunker: object = None  # a function from a string column to an array<string> column of chunks, instead of ours
+    similarity: object = None  # for semantic_textrank: from a words x chunks matrix of counts to a words x words matrix; the cosine by default
+    smooth_idf: bool = True  # of the TF-IDF that weighs edges, for graph methods
+    sublinear_tf: bool = False
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -64,11 +70,15 @@ class Options:
     @property
     def ranker(self) -> Ranker:
         flags = COMBINED.get(self.method, (self.use_tfidf, self.use_position))
-        return Ranker(DEDICATED.get(self.method, "combined"), self.window, self.damping, self.min_edge, *flags, self.decay)
+        return Ranker(DEDICATED.get(self.method, "combined"), self.window, self.damping, self.min_edge, *flags, self.decay, self.similarity, self.smooth_idf, self.sublinear_tf)
 
 
 def chunked(docs: DataFrame, o: Options, query: str | None = None) -> DataFrame:
-    d = prepared(with_chunks(docs, "text", o.chunk_length, o.overlap, pdf=o.pdf), query, stopwords=o.stopwords)
+    if o.chunker:
+        cut = docs.withColumn("chunks", F.coalesce(o.chunker(F.col("text")), F.array().cast("array<string>")))
+    else:
+        cut = with_chunks(docs, "text", o.chunk_length, o.overlap, pdf=o.pdf, endings=o.endings)
+    d = prepared(cut, query, stopwords=o.stopwords)
     if o.tokenizer:
         q = F.col(query) if query else F.lit("")
         d = d.withColumns({"chunk_tokens": F.transform("chunks", o.tokenizer), "query_tokens": F.array_distinct(o.tokenizer(F.coalesce(q, F.lit(""))))})
@@ -135,17 +145,16 @@ def compress_both(docs: DataFrame, o: Options, query: str | None = None, keys: t
     return assembled(scored(docs, o, query, keys), picks).select(*keys, "by_length", "by_topn")
 
 
-def batch(manifest: DataFrame, texts: DataFrame, o: Options, use_query: bool = True, embed=None) -> DataFrame:
+def batch(manifest: DataFrame, texts: DataFrame, o: Options, use_query: bool = True, embed=None, parts: int = PARTS) -> DataFrame:
     """The batch job: for each query of the manifest (file_name, query) and each part of its file, both selections.
 
     texts: (file_name, text), the parts by their own names. embed: a function from a string column to a vector column; with it
     the similarities are the vectors' dot products, else null.
     """
     from ..functions.text import dot, query_terms
-    from ..sources.files import with_parts
 
     terms = query_terms("query") if use_query else F.array(F.lit(""))
-    jobs = with_parts(manifest.select("file_name", F.posexplode(terms).alias("query_id", "query_term"))).join(texts.withColumnRenamed("file_name", "part_name"), "part_name")
+    jobs = with_parts(manifest.select("file_name", F.posexplode(terms).alias("query_id", "query_term")), parts).join(texts.withColumnRenamed("file_name", "part_name"), "part_name")
     rows = compress_both(jobs, o, "query_term", ("part_name", "query_id", "query_term"))
     like = lambda c: dot(embed(F.col("query_term")), embed(F.col(c + ".compressed_text"))) if embed else F.lit(None).cast("double")
     return rows.select(

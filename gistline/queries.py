@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -11,7 +11,7 @@ from .functions.instrument import usage
 from .functions.stopwords import ENGLISH
 from .operators import graph, selection, terms
 from .operators.running import running_total
-from .plans.compress import DEDICATED, Options, assembled, chunked, compress, compress_both, scored
+from .plans.compress import DEDICATED, Options, assembled, batch, chunked, compress, compress_both, scored
 from .sources.files import tokens_without, with_parts
 from .sources.tables import spread
 
@@ -209,6 +209,26 @@ def _ranked(method):
     return run
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(text) -> Column:
+    """A vector of a text without a model: how often each letter occurs."""
+    return F.array(*[F.regexp_count(F.lower(text), F.lit(x)).cast("double") for x in LETTERS])
+
+
+def query_similarity(spark, sf_dir):
+    """The batch job for every document and its query: both selections, and how like the query each is."""
+    d = _asked(spark, sf_dir).withColumnRenamed("query", "asked")
+    parts = d.select(F.concat(F.lit("doc"), "doc_id", F.lit("_part1.txt")).alias("file_name"), "text")
+    manifest = d.select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file_name"), F.col("asked").alias("query"))
+    b = batch(manifest, parts, Options("bm25", max_length=2048, topn=5), embed=letters, parts=1)
+    return b.select(
+        F.regexp_extract("File Name", r"doc(-?\d+)_", 1).cast("long").alias("doc_id"), F.col("Query Term").alias("query"), F.col("Similarity by Length").alias("by_length"), F.col("Similarity by TopN").alias("by_topn"),
+        F.round("Compression Ratio by Length", 6).alias("ratio_by_length"), F.round("Compression Ratio by TopN", 6).alias("ratio_by_topn"),
+    )
+
+
 def embedding_dot(spark, sf_dir):
     """Each vector with the next by vec_id."""
     return _neighbours(spark, sf_dir).select("vec_id", F.round(T.dot("embedding", "other"), 4).alias("dot"))
@@ -233,7 +253,7 @@ QUERIES = {
     for f in (
         sentence_split, segment_split, comma_split, space_split, custom_length, pdf_clean, chunk_pack, chunk_pack_full, chunk_counts, tokenize_en, stopword_anti, query_split, part_files, detect_language, random_excerpt, highlight_html,
         term_frequency, document_frequency, chunk_length_mean, vocabulary, query_overlap, bm25_query, bm25_noquery, tfidf_query, tfidf_noquery, compress_bm25, compress_tfidf, compress_both_ways,
-        cooc_edges, position_weights_first, position_weights_each, tfidf_mean, pagerank_fixed, embedding_dot, embedding_cosine, function_usage,
+        cooc_edges, position_weights_first, position_weights_each, tfidf_mean, pagerank_fixed, query_similarity, embedding_dot, embedding_cosine, function_usage,
     )
 } | {
     "select_topn": select_topn, "select_stop": select_stop, "select_skip": select_skip, "select_both": select_both,

@@ -45,3 +45,10 @@ def hashed(dimension: int = 128) -> Callable[[list[str]], list[list[float]]]:
         return out
 
     return embed
+
+
+def print_embeddings(texts: list[str], embed: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> None:
+    """Each text with its vector, on the screen."""
+    for i in range(0, len(texts), batch):
+        for text, vector in zip(texts[i : i + batch], embed(texts[i : i + batch])):
+            print(text, vector)
