@@ -73,6 +73,69 @@ def test_pagerank_by_hand():
     assert len(pagerank(0, *[np.zeros(0, int)] * 2, np.zeros(0))) == 0
 
 
+def test_pageranks_of_many_graphs_as_of_each(spark):
+    r = np.random.default_rng(2)
+    sizes, a, b, w, graph_of, alone = [2, 3, 9, 30, 4], [], [], [], [], []
+    for g, n in enumerate(sizes):
+        x, y = np.triu_indices(n, 1)
+        some = r.random(len(x)) < max(0.3, 2 / n)
+        some[: n - 1] = True
+        v = r.random(some.sum()) + 0.1
+        alone.append(pagerank(n, x[some], y[some], v))
+        a.append(x[some] + len(graph_of)), b.append(y[some] + len(graph_of)), w.append(v)
+        graph_of += [g] * n
+    ranks, done = graph.pageranks(np.array(graph_of), np.concatenate(a), np.concatenate(b), np.concatenate(w))
+    assert done.all() and np.allclose(ranks, np.concatenate(alone))
+
+
+@pytest.mark.parametrize("damping", [0.9, 0.95])
+def test_ranks_that_do_not_converge_are_zeros(spark, damping):
+    path = [["aa", "bb", "cc"]]
+    assert scores(path, [], False, Ranker("textrank", window=1, damping=damping)) == [0.0]
+    assert scores(path, [], False, Ranker("textrank", window=1))[0] == pytest.approx(1, abs=1e-4)
+    d = spark.createDataFrame([(1, "alpha beta gamma. Then others come."), (2, TEXT)], "doc_id long, text string")
+    got = {r.doc_id: r for r in compress(d, Options("dedicated_textrank", topn=1, window=1, damping=damping, chunk_length=8)).collect()}
+    assert set(got) == {1, 2} and got[1].compressed_text
+
+
+def test_a_batch_as_each_document_alone(spark):
+    import pyarrow as pa
+
+    r = random.Random(7)
+    docs_ = [[[r.choice("abcdefgh") * 2 for _ in range(r.randrange(0, 9))] for _ in range(r.randrange(0, 5))] for _ in range(40)]
+    asked = [[r.choice("abcdefghz") * 2 for _ in range(r.randrange(0, 3))] for _ in docs_]
+    asked = [list(dict.fromkeys(q)) for q in asked]
+    has = [r.random() < 0.7 for _ in docs_]
+    deep, flat = pa.list_(pa.list_(pa.string())), pa.list_(pa.string())
+    for kind in ("textrank", "singlerank", "positionrank", "combined", "topicrank", "semantic"):
+        args = pa.array([None, *docs_], deep)[1:], pa.array(asked, flat), pa.array(has), pa.array(docs_, deep), pa.array(asked, flat)
+        got = graph.batch_scores(*args, Ranker(kind)).to_pylist()
+        for g, c, q, h in zip(got, docs_, asked, has):
+            assert np.allclose(g, scores(c, q, h, Ranker(kind)))
+
+
+def test_own_similarity_chunker_endings_and_tfidf(spark):
+    chunks = [["aa", "bb"], ["bb", "cc"], ["dd"]]
+    cosine = lambda m: (m @ m.T) / np.sqrt((m * m).sum(1))[:, None] / np.sqrt((m * m).sum(1))[None]
+    assert np.allclose(scores(chunks, [], False, Ranker("semantic", similarity=cosine)), scores(chunks, [], False, Ranker("semantic")))
+    all_ = scores(chunks, [], False, Ranker("semantic", similarity=lambda m: np.ones((len(m), len(m)))))
+    assert all_[2] == pytest.approx(0.25)  # every word is like every other
+    d = spark.createDataFrame([(1, "one thing|another thing|third thing")], "doc_id long, text string")
+    o = Options("bm25", topn=1, chunker=lambda c: F.split(c, r"\|"))
+    assert chunked(d, o).first().chunks == ["one thing", "another thing", "third thing"] and compress(d, o).count() == 1
+    d = spark.createDataFrame([(1, "|".join(c * 20 for c in "一二三"))], "doc_id long, text string")
+    assert [c[-1] for c in chunked(d, Options("bm25", topn=1, endings="|", chunk_length=25)).first().chunks] == ["|", "|", "三"]
+    assert chunked(d, Options("bm25", topn=1, chunk_length=25)).first().chunks[-1].count("|") == 2
+    two = [["aa", "aa", "bb"], ["bb", "cc"]]
+    plain, other = (scores(two, [], False, Ranker("combined", position=False, least=0.0, smooth=s, sublinear=u)) for s, u in ((True, False), (False, True)))
+    weights = lambda s, u: [{t: ((1 + math.log(n)) if u else n) * ((math.log(3 / (1 + df)) if s else math.log(2 / df)) + 1) for (t, n), df in zip(Counter(c).items(), [sum(t in x for x in two) for t in Counter(c)])} for c in two]
+    for got, (s, u) in ((plain, (True, False)), (other, (False, True))):
+        unit = [{t: v / math.sqrt(sum(x * x for x in w.values())) for t, v in w.items()} for w in weights(s, u)]
+        mean = {t: sum(x.get(t, 0) for x in unit) / 2 for t in ("aa", "bb", "cc")}
+        rank = dense_rank(plain_word_edges(two, lambda k, t, x, d: mean[t] * mean[x], 0.0, True))
+        assert np.allclose(got, [sum(rank[t] * mean[t] for t in set(c)) / len(set(c)) for c in two], atol=1e-4)
+
+
 def test_pagerank_of_all_documents_at_once(spark):
     edges = [(1, "a", "b", 1.0), (1, "b", "c", 2.0), (2, "a", "c", 1.0), (2, "c", "d", 0.5), (2, "a", "d", 4.0)]
     got = {(r.doc_id, r.token): r["rank"] for r in graph.pagerank_rounds(spark.createDataFrame(edges, "doc_id long, src string, dst string, weight double"), ["doc_id"], 12).collect()}

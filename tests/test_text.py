@@ -106,3 +106,18 @@ def test_chinese_segmenter(spark):
     assert segmenter.segment("他们在北京大学abc", words, 4) == [("他们", "r"), ("在", "x"), ("北京大学", "nt"), ("abc", "eng")]
     tok = segmenter.chinese_tokens(words, ("非常",))
     assert one(spark, tok(F.col("t")), t="他们在北京大学,非常好看abc") == ["北京大学", "好看", "abc"]
+
+
+def test_highlight_of_what_is_at_hand(spark, capsys):
+    from gistline.sources.embedding import hashed, print_embeddings
+
+    class Page:
+        page_content = "c\td"
+
+    chunks = ["a <b>", ["x", "y"], Page()]
+    want = spark.createDataFrame([(["a <b>", "x y", "c\td"],)], "chunks array<string>").select(T.highlighted("chunks").alias("h")).first().h
+    assert T.highlight(chunks) == want
+    with pytest.raises(TypeError):
+        T.highlight([5])
+    print_embeddings(["one two", "two"], hashed(4), 1)
+    assert len(capsys.readouterr().out.splitlines()) == 2
