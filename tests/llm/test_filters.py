@@ -1,9 +1,11 @@
 """Toxicity, near duplicates, repeated passages, contamination, against brute force and on odd input."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from gistline.llm import decontam, simhash, suffix, toxicity, words
 
@@ -65,6 +67,65 @@ def test_near_duplicates(docs):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {0, 1, 4}
 
 
+def test_fingerprints_against_plain_loops():
+    texts = [prose(60, 1), "a", "the cat the cat sat", None, "", "ÉTÉ été", prose(3000, 2)]
+    f, n = simhash.fingerprints(pa.array(texts))
+    for k, t in enumerate(texts):
+        own = sorted({h >> 20 for h in words.words_of(pa.array([t or ""])).hash.tolist()})
+        assert n[k] == len(own)
+        for half, salt in enumerate((lambda v: v + (0x51ED270B << 30) & (1 << 64) - 1, lambda v: v ^ 0x7F4A7C15F39CC060)):
+            hashes = words.mix(np.array([salt(v) for v in own], np.uint64)).tolist() if own else []
+            want = sum((2 * sum(h >> b & 1 for h in hashes) > len(own)) << b for b in range(64))
+            assert int(f[k, half]) == want
+
+
+def test_groups_against_brute_force(docs):
+    """Groups of all rows' fingerprints by plain distances; many variants of one text, doc_ids with two texts, equal rows."""
+    r = random.Random(4)
+    base = [prose(120, 50 + i).split() for i in range(6)]
+    texts = []
+    for i in range(90):
+        w = list(r.choice(base))
+        for k in r.sample(range(120), r.randrange(0, 6)):
+            w[k] = f"v{r.randrange(50)}"
+        texts.append(" ".join(w))
+    d = docs(texts).unionByName(docs([texts[0], prose(90, 999), texts[5]], 3))  # doc_ids 3 to 5 have a second text
+    rows = [(x.doc_id, x.text, th) for x, th in ((x, x.th_) for x in d.selectExpr("*", "hash(text) th_").collect())]
+    f = simhash.fingerprints(pa.array([t for _, t, _ in rows]))[0]
+    dist = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(int) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if dist[i, j] <= 15:  # all of these are found
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for k, (i, _, th) in enumerate(rows):
+        least[label[k]] = min(least.get(label[k], (i, th)), (i, th))
+    got = {(g.key, g.th): (g.kept.key, g.kept.th) for g in simhash.groups(d).collect()}
+    far = sum(got[i, th] != least[label[k]] for k, (i, _, th) in enumerate(rows))
+    assert set(got) == {(i, th) for i, _, th in rows} and far == 0 or ((dist > 15) & (dist <= 20)).any()
+    kept = {(x.doc_id, x.text) for x in simhash.drop_near_duplicates(d).collect()}
+    assert kept == {(i, t) for i, t, th in rows if got[i, th] == (i, th)} and (4, prose(90, 999)) in kept
+
+
+def test_links_connect_as_all_pairs_do(spark):
+    r = random.Random(6)
+    centre = r.getrandbits(128)
+    prints = [(i, centre ^ sum(1 << f for f in r.sample(range(120), r.randrange(8)))) for i in range(300)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(k, signed(v & (1 << 64) - 1), signed(v >> 64)) for k, v in prints], "key long, a long, b long")
+    pairs, links = simhash.near_pairs(df), simhash.near_pairs(df, all_pairs=False)
+    assert links.count() < pairs.count() / 3
+    by = lambda p: {x.node: x.root for x in simhash.components(spark, p).collect()}
+    assert by(links) == by(pairs)
+
+
+def test_equal_rows_keep_the_first_by_all_columns(spark):
+    d = spark.createDataFrame([(1, "some text here", 3, {"a": 1}), (1, "some text here", 2, {"b": 2}), (2, None, 5, None), (2, None, 4, None)], "doc_id long, text string, place int, `m.ap` map<string,int>")
+    assert sorted((x.doc_id, x.place) for x in simhash.drop_near_duplicates(d).collect()) == [(1, 2), (2, 4)]
+
+
 def test_near_duplicates_odd(odd):
     got = {tuple(r) for r in simhash.near_duplicates(odd).collect()}
     assert got == {(15, 14)}  # the repeated row is one document with its twin
@@ -121,6 +182,28 @@ def test_repeats_against_brute_force(docs, monkeypatch):
         assert got == brute_repeats(list(enumerate(texts)), least)
 
 
+def test_hot_minimizer_in_bounded_memory(docs, monkeypatch):
+    """One 40-word passage in every document, so that passages meet under few minimizers; little is held at once."""
+    r = random.Random(3)
+    p, q = prose(45, 1), prose(80, 2)
+    texts = [f"{prose(r.randrange(30), i, 10**6)} {p} {prose(20, 900 + i % 40, 10**6)} {q if i % 3 else ''}" for i in range(160)]
+    monkeypatch.setattr(suffix, "SHARD", 300)
+    monkeypatch.setattr(suffix, "MERGE", 3000)
+    got = {(s.doc_id, s.start_word + k) for b in [suffix.repeated_passages(docs(texts).coalesce(1), 50).collect()] for s in b for k in range(s.n_words - 49)}
+    assert got == brute_repeats(list(enumerate(texts)), 50)
+    rows = [x for b in suffix._shards(50)(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([0], pa.int32())], ["key", "text", "th"]) for i, t in enumerate(texts)) for x in [b]]
+    t = pa.Table.from_batches(rows).sort_by("key")
+    found = {(d, s + k) for b in suffix._merge(50)(t.to_batches(max_chunksize=7)) for d, s, n in zip(*(b.column(c).to_pylist() for c in ("doc", "start", "n"))) for k in range(n)}
+    assert found == got
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/documents.parquet").exists(), reason="no tables")
+def test_repeats_of_a_whole_table_against_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(s.doc_id, s.start_word + k) for s in suffix.repeated_passages(d.repartition(5)).collect() for k in range(s.n_words - 49)}
+    assert got == brute_repeats([(r.doc_id, r.text or "") for r in d.collect()], 50) and len(got) > 1000
+
+
 def test_merge_runs():
     r = np.random.default_rng(4)
     keys = r.integers(0, 60, 300).astype(np.uint64)
@@ -189,6 +272,78 @@ def test_substitutions_against_brute_force(spark, docs):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def brute_overlaps(texts, items, least=decontam.LEAST):
+    """Every diagonal of every document and item, word by word: the best overlap of those that one of the masks or pieces hits."""
+    out = {}
+    split = lambda t: words.words_of(pa.array([t])).hash.tolist()
+    for i, y in enumerate(map(split, items)):
+        n = len(y)
+        need = max(int(np.ceil(decontam.ALIKE * n)), min(n, decontam.CERTAIN))
+        masks = [[k for k, c in enumerate(m) if c == "1"] + [len(m)] for m in decontam.MASKS]
+        if decontam.SHORTEST <= n < min(map(len, decontam.MASKS)):
+            masks.append([*range(n), n])
+        for d, x in enumerate(map(split, texts)):
+            best = None
+            for base in range(-n + 1, len(x)):
+                same = [0 <= base + k < len(x) and x[base + k] == y[k] for k in range(n)]
+                inside = [0 <= base + k < len(x) for k in range(n)]
+                total, o = sum(same), None
+                if n < decontam.SHORTEST:
+                    continue
+                seeded = any(all(same[s + k] for k in m[:-1]) and all(inside[s : s + m[-1]]) for m in masks for s in range(n - m[-1] + 1))
+                if total >= need and (n > need or seeded):
+                    s, e = same.index(True), n - same[::-1].index(True)
+                    o = (base + s, e - s, total)
+                elif seeded:
+                    score, stretch = 0, None
+                    for e in range(n):  # the first stretch of greatest score
+                        run = 0
+                        for s in range(e, -1, -1):
+                            if not inside[s] or not inside[e]:
+                                break
+                            run += 1 if same[s] else -decontam.PENALTY
+                            if run > score or (stretch and run == score and e == stretch[1] and s < stretch[0]):
+                                score, stretch = run, (s, e)
+                    if stretch and sum(same[stretch[0] : stretch[1] + 1]) >= min(least, n):
+                        s, e = stretch
+                        o = (base + s, e - s + 1, sum(same[s : e + 1]))
+                if o and (best is None or (o[2], -o[0]) > (best[2], -best[0])):
+                    best = o
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_all_diagonals_by_brute_force(spark, docs):
+    r = random.Random(12)
+    items = [prose(n, 3000 + n, 500) for n in (3, 7, 9, 12, 14, 17, 20, 33, 50)] + ["a b " * 10, "one two", "x " * 15, "1 2 3 " * 6]
+    texts = []
+    for t in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            w = r.choice(items).split()
+            a = r.randrange(0, max(1, len(w) // 3))
+            w = w[a : len(w) - r.randrange(0, max(1, len(w) // 3))]
+            for k in r.sample(range(len(w)), r.randrange(0, 1 + len(w) // 5)):
+                w[k] = "sub"
+            parts += [prose(r.randrange(5), 4000 + t), " ".join(w * r.randrange(1, 3))]
+        texts.append(" ".join(parts))
+    texts += ["a b " * 40, "b " * 30 + "x " * 40, "1 2 3 " * 30, "one two"]
+    got = {(x.doc_id, x.item_id): (x.start_word, x.n_words, x.n_matched) for x in decontam.contaminated(docs(texts), bench(spark, items)).collect()}
+    assert got == brute_overlaps(texts, items)
+    assert [u.item_id for u in decontam.unusable(bench(spark, [*items, "yes", None])).orderBy("item_id").collect()] == [10, 13]
+
+
+def test_repetitive_texts_take_seconds():
+    import time
+
+    began = time.time()
+    for unit, n in (("yes ", 100_000), ("0 1 ", 50_000), ("4 8 15 16 ", 25_000)):
+        index = decontam.Index([(1, unit * (300 // len(unit.split()))), (2, prose(20, 1))])
+        assert index.overlaps(words.words_of(pa.array([unit * n, "other"])), 12) == {(0, 0): (0, 300, 300)}
+    assert time.time() - began < 20
+
+
 def test_short_items_with_substitutions(spark, docs):
     r = random.Random(4)
     items, texts, want = [], [], {}
@@ -239,6 +394,69 @@ def corpus(n, seed):
     return texts, y
 
 
+def test_trees_and_features_against_plain_loops():
+    r = random.Random(5)
+    x = np.array([[r.randrange(6), r.random(), r.randrange(2)] for _ in range(120)], np.float32)
+    y = np.array([int(a > 3 or (b > 0.7 and c)) ^ (r.random() < 0.1) for a, b, c in x.tolist()])
+    model = toxicity.fit(x, y, np.arange(120) % 4 == 0, trees=4, depth=2)
+
+    def walk(tree, row):
+        feature, threshold, left, right, value = tree
+        k = 0
+        while feature[k] >= 0:
+            k = left[k] if row[feature[k]] <= threshold[k] else right[k]
+        return float(value[k])
+
+    margin = [model.base + sum(walk(t, row) for t in model.trees) for row in x]
+    assert np.allclose(toxicity.margins(model, x), margin)
+    fitted = np.arange(120) % 4 != 0
+    fx, fy, at = x[fitted], y[fitted], np.full(90, model.base)
+    for tree in model.trees:  # the first split of each is the best of all, by trying every one
+        q = 1 / (1 + np.exp(-at))
+        g, h = q - fy, q * (1 - q)
+        best = 0.0
+        for f in range(3):
+            edges = np.unique(fx[:, f])[:-1] if len(np.unique(fx[:, f])) <= 32 else np.unique(np.quantile(fx[:, f], np.linspace(0, 1, 33)[1:-1], method="lower"))
+            for e in edges:
+                s = fx[:, f] <= e
+                if 5 <= s.sum() <= 85:
+                    best = max(best, g[s].sum() ** 2 / (h[s].sum() + 1) + g[~s].sum() ** 2 / (h[~s].sum() + 1) - g.sum() ** 2 / (h.sum() + 1))
+        s = fx[:, tree[0][0]] <= tree[1][0]
+        assert best == pytest.approx(g[s].sum() ** 2 / (h[s].sum() + 1) + g[~s].sum() ** 2 / (h[~s].sum() + 1) - g.sum() ** 2 / (h.sum() + 1))
+        assert np.allclose([walk(tree, row) for row in fx[:1]], 0.2 * -g[_same_leaf(tree, fx, 0)].sum() / (h[_same_leaf(tree, fx, 0)].sum() + 1))
+        at += [walk(tree, row) for row in fx]
+
+    t = "You IDIOT, you are trash!! A SHOUTED Word 2 the idiot"
+    got = dict(zip(toxicity.FEATURES, toxicity.features(pa.array([t]))[0].tolist()))
+    w = ["you", "idiot", "you", "are", "trash", "a", "shouted", "word", "2", "the", "idiot"]
+    hits = [i for i, v in enumerate(w) if v in toxicity.LEXICON]
+    want = {"hits": 3, "hit density": 3 / 11, "you": 2 / 11, "near_you": sum(abs(i - j) <= 5 for i in hits for j in (0, 2)), "capitals": sum(c.isupper() for c in t) / len(t), "shouted": 2 / 11, "punctuation": 3 / len(t), "exclaimed": 2 / len(t), "length": np.log1p(11)}
+    want["density"] = want.pop("hit density")
+    assert all(got[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+    many = toxicity.features(pa.array(["idiot " * 80]))[0]
+    assert many[toxicity.FEATURES.index("hits")] == 80
+
+
+def _same_leaf(tree, rows, k):
+    feature, threshold, left, right, _ = tree
+
+    def leaf(row):
+        n = 0
+        while feature[n] >= 0:
+            n = left[n] if row[feature[n]] <= threshold[n] else right[n]
+        return n
+
+    return np.array([leaf(row) == leaf(rows[k]) for row in rows])
+
+
+def test_very_long_tokens_take_seconds(docs, labels):
+    import time
+
+    began = time.time()
+    x = toxicity.features(pa.array(["a0a " + "b" * 1_000_000, "a0" * 500_000, "*" * 1_000_000 + "x", "id1ot " * 1000]))
+    assert time.time() - began < 20 and x[3, toxicity.FEATURES.index("disguised_hits")] == 1000
+
+
 def test_held_out_accuracy(docs, labels):
     texts, y = corpus(1200, 3)
     d = docs(texts)

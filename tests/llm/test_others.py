@@ -260,6 +260,34 @@ def test_dictionary_against_brute_force(spark):
     assert lmscore._dictionary(counts, "domain", "total", share, size) == "".join(reversed(want)).encode()
 
 
+def test_counts_and_scores_against_brute_force(spark, docs, labels):
+    """Segments counted by a plain loop, and every document compressed by hand under both dictionaries; a word of 100,000 letters too."""
+    import re
+    from collections import Counter
+
+    import zstandard
+
+    texts = [prose(40 + i % 30, i % 50, 60) for i in range(150)] + ["ab" * 50_000 + " tail " + "ab" * 50_000, "été.. l'an 2000!", None, ""]
+    good = {i for i in range(150) if i % 3 == 0} | {150}
+    d, l = docs(texts), labels([(i, 1, 0) for i in good] + [(i, 0, 0) for i in range(1, 150, 3)] + [(None, 1, 0)])
+    total, domain = Counter(), Counter()
+    for i, t in enumerate(texts):
+        for seg in re.findall(r"[^\W_]+(?:[\W_]+|$)", t or ""):
+            total[seg.encode()] += 1
+            domain[seg.encode()] += i in good
+    rows = {None if r.seg is None else bytes(r.seg): (r.domain, r.total) for r in lmscore.segments(d, l).collect()}
+    assert rows.pop(None) == (sum(domain.values()), sum(total.values()))
+    assert rows.pop(b"") == tuple(sum(len(s) * n for s, n in c.items()) for c in (domain, total))
+    assert rows == {s: (domain[s], n) for s, n in total.items()}
+    a, b = dicts = lmscore.dictionaries(d, l, 3000)
+    got = {r.doc_id: r for r in lmscore.scores(d, dicts).collect()}
+    for i, t in enumerate(texts):
+        x, y = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(z, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress((t or "").encode())) for z in (a, b))
+        assert abs(got[i].domain_bytes - x) <= 2 and abs(got[i].general_bytes - y) <= 2  # as digested once, not for each size of text
+        assert got[i].score == pytest.approx((got[i].general_bytes - got[i].domain_bytes) / got[i].general_bytes if t else 0)
+    assert lmscore.dictionary_bytes(10**9) == 252_982 and lmscore.dictionary_bytes(0) == lmscore.LEAST_BYTES
+
+
 def test_lm_odd(odd, labels):
     got = lmscore.lm_scores(odd, labels([(14, 1, 0), (14, 0, 0)]), 1000)
     assert got.count() == odd.count()

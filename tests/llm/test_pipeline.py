@@ -48,6 +48,64 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(map(repr, pipeline.run(spark, root).collect())) == sorted(map(repr, after["packing"]))
 
 
+def odd_tables(spark, root, docs, labels, items):
+    docs.write.parquet(f"{root}/documents.parquet")
+    labels.write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    return str(root)
+
+
+def test_stages_on_odd_documents(spark, odd, labels, tmp_path):
+    """Nulls, empty and long texts, equal rows, a missing doc_id, clashing names: every stage alone, and all."""
+    item = prose(30, 77)
+    some = odd.unionByName(odd.filter("doc_id = 13").selectExpr("18L doc_id", f"'{item}' text", "lang", "source", "n_chars", "key", "th", "starts", "row_key", "`a.b`"))
+    root = odd_tables(spark, tmp_path, some, labels([(14, 1, 0), (18, 0, 0), (None, None, None), (13, 1, None)]), [(1, item), (2, None), (None, ""), (3, "yes")])
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    texts = [r.text for r in docs.collect()]
+    one = lambda t: -1 if t is None else len(t)
+    want = {"toxicity": sorted(map(one, texts)), "near_duplicates": None, "suffix_dedup": None, "decontamination": sorted(one(t) for t in texts if t != item), "packing": None}
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, root)
+        if name == "packing":
+            assert sum(r.n_words for r in got.collect()) == sum(len((t or "").split()) for t in texts)
+            continue
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+        rows = got.collect()
+        if want[name] is not None:
+            assert sorted(one(r.text) for r in rows) == want[name]
+        assert {None, "", "  \n", "one", "日本 語 text"} <= {r.text for r in rows}
+        assert max(len(r.text or "") for r in rows) == max(len(t or "") for t in texts)
+    near = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, root).collect()]
+    assert len(near) == len(set(near)) and {i for i, _ in near} == {10, 11, 12, 13, 14, 16, 17, 18, None}
+    cut = [r.doc_id for r in pipeline.repeats(spark, docs, root).collect()]
+    assert 15 not in cut and cut.count(14) == 2
+    packed = pipeline.run(spark, root).collect()
+    assert {r.doc_id for r in packed if r.doc_id > 0} == {13, 14, 16, 17} and len({r.doc_id for r in packed if r.doc_id < 0}) == 1
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, odd, labels, tmp_path):
+    from pathlib import Path
+
+    from gistline.llm import shared
+
+    shared.release(spark)
+    root = odd_tables(spark, tmp_path, odd, labels([(14, 1, 0)]), [(1, prose(30, 77))])
+    rows = pipeline.run(spark, root).collect()
+    left = [p.name for p in Path(shared.shared_root(spark)[len("file://") :], "gistline").iterdir() if p.name.startswith("stage-")]
+    assert rows and len(left) == 1 and left[0].startswith("stage-packing-") and shared.mark(spark) == 1
+    shared.release(spark)
+    assert shared.mark(spark) == 0
+
+
+def test_empty_tables(spark, odd, labels, tmp_path):
+    root = odd_tables(spark, tmp_path, odd.limit(0), labels([]), [])
+    assert pipeline.run(spark, root).count() == 0
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, root)
+        assert got.columns == docs.columns and got.count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
