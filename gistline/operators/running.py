@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import drop, table
 
-def running_total(df: DataFrame, key: str, value: str, name: str, buckets: int = 256) -> DataFrame:
-    """df with the total of value over all rows up to this one by key, a unique number.
 
-    Rows fall into `buckets` equal ranges of key; totals of the ranges before, one row each, are added to the total within.
+def running_total(df: DataFrame, key: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df with the total of value over all rows up to this one by key, a unique number (a null comes first).
+
+    df is computed once, and its rows cut into `buckets` ranges of key of about as many rows (by default, as many as shuffles have
+    partitions), however keys are spread; totals of the ranges before, one row each, are added to the total within.
     """
-    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    d = df.crossJoin(F.broadcast(ends))  # one row
-    width = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
-    d = d.withColumn("__b", F.coalesce(F.floor((F.col(key) - F.col("lo")) * buckets / width), F.lit(-1)).cast("int")).drop("lo", "hi")
-    before = d.groupBy("__b").agg(F.sum(value).alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    once = table(df, "totalled")
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table(once.repartitionByRange(n, F.asc_nulls_first(key)).withColumn("__b", F.spark_partition_id()), "ranges")
+    drop(once)
+    before = ranged.groupBy("__b").agg(F.sum(value).alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     within = F.sum(value).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("__within", within).join(F.broadcast(before), "__b").withColumn(name, F.col("__within") + F.col("__before")).drop("__b", "__within", "__before")
+    return ranged.withColumn("__within", within).join(F.broadcast(before), "__b").withColumn(name, F.col("__within") + F.col("__before")).drop("__b", "__within", "__before")
