@@ -121,6 +121,51 @@ def test_links_connect_as_all_pairs_do(spark):
     assert by(links) == by(pairs)
 
 
+def test_anchor_against_all_pairs():
+    """Leaders and followers, in batches of any size, connect what all pairs connect; a group of copies is hardly compared."""
+    r = np.random.default_rng(8)
+    bits = lambda n: r.integers(0, 2, (n, 128), dtype=np.uint8)
+    for trial in range(30):
+        centres = bits(int(r.integers(1, 6)))
+        f = centres[r.integers(0, len(centres), 600)]
+        f ^= (r.random(f.shape) < r.choice([0.02, 0.06, 0.1])).astype(np.uint8)
+        f = np.unique(f, axis=0)[r.permutation(len(np.unique(f, axis=0)))]
+        a, b = np.packbits(f, axis=1, bitorder="little").view(np.uint64).T.copy()
+        home, key = np.arange(len(f)) < int(r.integers(0, len(f) + 1)), r.permutation(len(f)) * 7
+        d = (f[:, None] != f[None]).sum(axis=2)
+        near = np.argwhere((d <= 20) & home[:, None] & ~np.eye(len(f), dtype=bool))
+        got = {}
+        for all_pairs in (True, False):
+            anchor, found, size = simhash._Anchor(20, all_pairs), [], int(r.integers(1, 300))
+            for i in range(0, len(f), size):
+                s = slice(i, i + size)
+                found += [np.stack(x, 1) for x in anchor.add(home[s], key[s], a[s], b[s])]
+            got[all_pairs] = {tuple(sorted(x)) for x in np.concatenate(found or [np.zeros((0, 2), int)]).tolist()}
+        want = {tuple(sorted((int(key[i]), int(key[j])))) for i, j in near}
+        assert got[True] == want
+
+        def groups(links):
+            root = {}
+            find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+            for x, y in links:
+                root[find(x)] = find(y)
+            out = {}
+            for x in root:
+                out.setdefault(find(x), set()).add(x)
+            return sorted(map(sorted, out.values()))
+
+        assert groups(got[False]) == groups(want)
+    import time
+
+    f = bits(1)[np.zeros(60_000, int)] ^ (r.random((60_000, 128)) < 0.04).astype(np.uint8)
+    a, b = np.packbits(f, axis=1, bitorder="little").view(np.uint64).T.copy()
+    anchor, began, n = simhash._Anchor(20, False), time.time(), 0
+    for i in range(0, 60_000, 4096):
+        s = slice(i, i + 4096)
+        n += sum(len(x[0]) for x in anchor.add(np.ones(len(a[s]), bool), np.arange(60_000)[s], a[s], b[s]))
+    assert n == len({int(x) for x in np.arange(60_000)}) - len(set(anchor.root.tolist())) and time.time() - began < 30
+
+
 def test_equal_rows_keep_the_first_by_all_columns(spark):
     d = spark.createDataFrame([(1, "some text here", 3, {"a": 1}), (1, "some text here", 2, {"b": 2}), (2, None, 5, None), (2, None, 4, None)], "doc_id long, text string, place int, `m.ap` map<string,int>")
     assert sorted((x.doc_id, x.place) for x in simhash.drop_near_duplicates(d).collect()) == [(1, 2), (2, 4)]
