@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .stopwords import ENGLISH
 
 ENDINGS = "。?？!！;；…"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # what (?U)\s matches
 _OPENER = "[一-龥A-Za-z0-9(\\[\"']"
 _RUNS = r"[a-zA-Z]+\p{Nd}+|\p{Nd}+[a-zA-Z]+|[a-zA-Z]+|\p{Nd}+|[^a-zA-Z\p{Nd}]+"
 PALETTE = ("#ffd1dc", "#c1e1c1", "#aec6cf", "#fdfd96", "#ffb347", "#cfcfc4", "#b39eb5", "#77dd77", "#f49ac2", "#9bd3dd")
@@ -19,7 +20,7 @@ def _col(c: Column | str) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def _pieces(parts: Column) -> Column:

@@ -16,10 +16,12 @@ def _scores(ready: DataFrame, keys: list[str], term: Column) -> DataFrame:
 
     Scores are rounded to 12 places, as sums of doubles depend on their order and ties must not.
     """
-    t = with_df(chunk_terms(ready, keys), keys)
+    t = with_df(chunk_terms(ready, keys, True), keys)
     counts = F.col("token").isNotNull() & (F.col("in_query") | ~F.col("has_query"))
-    per_chunk = t.groupBy(*keys, "chunk_idx").agg(F.round(F.sum(F.when(counts, term).otherwise(0.0)), 12).alias("score"), F.max("chunk").alias("chunk"))
-    return per_chunk.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), "score", "chunk"))).alias("scored"))
+    # numbers alone are summed, so that it is a hash aggregate: the texts, null but in one row, are a column to group by
+    per_chunk = t.groupBy(*keys, "chunk_idx", "chunks").agg(F.round(F.sum(F.when(counts, term).otherwise(0.0)), 12).alias("score"))
+    all_ = per_chunk.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("chunk_idx") >= 0, F.struct(F.col("chunk_idx").alias("idx"), "score")))).alias("s"), F.collect_list("chunks").alias("c"))
+    return all_.select(*keys, F.zip_with("s", F.get("c", F.lit(0)), lambda s, c: F.struct(s["idx"].alias("idx"), s["score"].alias("score"), c.alias("chunk"))).alias("scored"))
 
 
 def bm25(ready: DataFrame, keys: list[str], k1: float = K1, b: float = B) -> DataFrame:

@@ -16,19 +16,23 @@ def prepared(chunked: DataFrame, query: str | None = None, **how) -> DataFrame:
     return chunked.withColumns({"chunk_tokens": F.transform("chunks", lambda c: tokens(c, **how)), "query_tokens": F.array_distinct(F.coalesce(tokens(q, **how), F.array().cast("array<string>"))), "has_query": F.coalesce(q != "", F.lit(False))})
 
 
-def chunk_terms(ready: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each token of each chunk, and one with a null token that carries the chunk's text.
+def chunk_terms(ready: DataFrame, keys: list[str], texts: bool = False) -> DataFrame:
+    """A row for each token of each chunk, and one with a null token.
 
-    keys, chunk_idx, token, chunk, tf, n_tokens, n_chunks, avg_tokens, in_query, has_query. Rows lie partitioned by keys.
+    keys, chunk_idx, token, tf, n_tokens, n_chunks, avg_tokens, in_query, has_query. Rows lie partitioned by keys. With texts there is a
+    column chunks, too: it is null but in one more row for each document, of chunk_idx -1.
     """
     sizes = F.aggregate("chunk_tokens", F.lit(0).cast("long"), lambda s, ts: s + F.size(ts))
-    d = ready.select(*keys, "chunks", "chunk_tokens", "query_tokens", "has_query", F.size("chunks").alias("n_chunks"), (sizes / F.size("chunks")).alias("avg_tokens")).repartition(*keys)
-    per_chunk = F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c.alias("chunk"), F.get("chunk_tokens", i).alias("ts")))
-    d = d.select(*keys, F.explode(per_chunk).alias("c"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
-    each_ = F.concat(F.array(F.struct(F.col("c.chunk").alias("chunk"), F.lit(None).cast("string").alias("token"))), F.transform("c.ts", lambda t: F.struct(F.lit(None).cast("string").alias("chunk"), t.alias("token"))))
-    d = d.select(*keys, F.col("c.i").alias("chunk_idx"), F.size("c.ts").alias("n_tokens"), F.explode(each_).alias("r"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
-    d = d.select(*keys, "chunk_idx", "r.token", "r.chunk", "n_tokens", "n_chunks", "avg_tokens", F.coalesce(F.array_contains("query_tokens", F.col("r.token")), F.lit(False)).alias("in_query"), "has_query")
-    return d.groupBy(*keys, "chunk_idx", "token", "chunk", "n_tokens", "n_chunks", "avg_tokens", "in_query", "has_query").agg(F.count("*").alias("tf"))
+    d = ready.select(*keys, *(["chunks"] if texts else []), "chunk_tokens", "query_tokens", "has_query", F.size("chunk_tokens").alias("n_chunks"), (sizes / F.size("chunk_tokens")).alias("avg_tokens")).repartition(*keys)
+    none = F.lit(None).cast("array<string>")
+    per_chunk = F.transform("chunk_tokens", lambda ts, i: F.struct(i.alias("i"), ts.alias("ts"), none.alias("chunks")))
+    whole = [F.array(F.struct(F.lit(-1).alias("i"), F.array().cast("array<string>").alias("ts"), F.col("chunks").alias("chunks")))] if texts else []
+    d = d.select(*keys, F.explode(F.concat(*whole, per_chunk)).alias("c"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
+    each_ = F.concat(F.array(F.lit(None).cast("string")), F.col("c.ts"))
+    kept = ["n_tokens", "n_chunks", "avg_tokens", *(["chunks"] if texts else [])]
+    d = d.select(*keys, F.col("c.i").alias("chunk_idx"), F.col("c.chunks").alias("chunks"), F.size("c.ts").alias("n_tokens"), F.explode(each_).alias("token"), "query_tokens", "has_query", "n_chunks", "avg_tokens")
+    d = d.select(*keys, "chunk_idx", "token", *kept, F.coalesce(F.array_contains("query_tokens", F.col("token")), F.lit(False)).alias("in_query"), "has_query")
+    return d.groupBy(*keys, "chunk_idx", "token", *kept, "in_query", "has_query").agg(F.count("*").alias("tf"))
 
 
 def with_df(terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -214,7 +214,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def letters(text) -> Column:
     """A vector of a text without a model: how often each letter occurs."""
-    return F.array(*[F.regexp_count(F.lower(text), F.lit(x)).cast("double") for x in LETTERS])
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
 
 
 def query_similarity(spark, sf_dir):
