@@ -9,7 +9,9 @@ each class goes on, the others are repeats.
 Across shards, passages meet by content: each goes to the partition of its minimizer, the least hash of the SEED-word
 runs in it, which equal passages share. There every shard's passages are a sorted run of fingerprints, and the runs are
 merged pairwise by binary search; of equal ones the first in the order of documents wins. Partitions are sorted by minimizer,
-and a task holds the passages of whole minimizers, about MERGE bytes of them at a time.
+and a task holds the passages of whole minimizers, about MERGE bytes of them at a time. Runs of words that many documents have
+are minimizers only of passages that have no others, which are then copies of each other, so that different passages around
+common words don't gather in one task. One document in SAMPLE, by hash, tells which those are; results don't depend on it.
 
 Every passage of `least` words that also stands at an earlier place in the corpus is thus found, wherever that is. Passages
 are taken as equal by 128 bits of hashes: the minimizer's 64 and a fingerprint's 64.
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .shared import column, fresh, keyed, parts, ship, table, with_key
+from .shared import column, drop, fresh, keyed, parts, ship, table, with_key
 
 U = np.uint64
 LEAST, SEED, SHARD, MERGE = 50, 20, (1 << 20) - (1 << 14), 16 << 20
+SAMPLE, COMMON, FEW = 64, 1024, 16  # common is what more than one in COMMON sampled documents have, and more than FEW
 _RUN = "key long, shard long, doc long, th int, start int, n int, prints binary, kept long, kept_start int"
 
 
@@ -131,8 +134,8 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 class _Shard:
     """Documents gathered until there are enough; yields its runs."""
 
-    def __init__(self, least: int):
-        self.least, self.docs, self.words = least, [], 0
+    def __init__(self, least: int, common: np.ndarray):
+        self.least, self.common, self.docs, self.words = least, common, [], 0
 
     def add(self, key: int, th: int, hashes: np.ndarray):
         self.docs.append((key, th, hashes))
@@ -182,7 +185,7 @@ class _Shard:
         # first passages: by minimizer, in stretches
         grams = words.ngram_hashes(text, SEED)
         bits = n.bit_length()
-        small = (words.mix(grams) >> U(bits) << U(bits)) | np.arange(len(grams), dtype=U)
+        small = (_order(grams, self.common) >> U(bits) << U(bits)) | np.arange(len(grams), dtype=U)
         least_at = (_sliding_least(small, least - SEED + 1) & U((1 << bits) - 1)).astype(np.int64)
         prints = words.mix(words.ngram_hashes(text, least)).astype("<u8")
         at = np.flatnonzero((whole & ~repeat)[: len(prints)])
@@ -208,9 +211,44 @@ class _Shard:
 _RUN_NAMES = [c.split()[0] for c in _RUN.split(", ")]
 
 
-def _shards(least: int):
+def _order(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """By which the least is a minimizer: by 63 bits of hash, common ones (given by these) last."""
+    out = words.mix(grams) >> U(1)
+    if len(common):
+        out[common[np.minimum(np.searchsorted(common, out), len(common) - 1)] == out] |= U(1 << 63)
+    return out
+
+
+def _grams(least: int):
+    def run(batches):
+        """Rows (gram): what _order() makes of each document's runs of SEED words, once; and a null for each document that has one."""
+        for b in parts(batches):
+            w, found = words.words_of(b.column(1)), []
+            for d in range(b.num_rows):
+                h = w.hash[w.splits[d] : w.splits[d + 1]]
+                if len(h) >= least:
+                    found.append(np.unique(_order(words.ngram_hashes(h, SEED), np.zeros(0, U))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.nulls(len(found), pa.int64())])], ["gram"])
+
+    return run
+
+
+def common_grams(docs: DataFrame, least: int) -> np.ndarray:
+    """What _order() makes of the runs of SEED words that more than one in COMMON of the sampled documents have: so many times the
+    words of a document at most, however many documents there are."""
+    d = keyed(docs)
+    some = d.filter(F.pmod(F.xxhash64(F.lit("grams"), "key", "th"), F.lit(SAMPLE)) == 0)
+    counts = table(some.mapInArrow(_grams(least), "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("gram").isNull() | (F.col("n") > FEW)), "grams")
+    all_ = counts.filter("gram is null").first()
+    found = counts.filter(F.col("gram").isNotNull() & (F.col("n") * COMMON > (all_.n if all_ else 0))).select("gram").toArrow().column(0).to_numpy()
+    drop(counts)
+    return np.sort(found.astype(np.int64).view(U))
+
+
+def _shards(least: int, common: np.ndarray = np.zeros(0, U)):
     def run(batches):
-        shard = _Shard(least)
+        shard = _Shard(least, common)
         for b in parts(batches):
             w = words.words_of(b.column(1))
             key, th = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -345,7 +383,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if least <= SEED:
         raise ValueError(f"least must exceed {SEED}")
     ship(docs.sparkSession)
-    runs = keyed(docs).mapInArrow(_shards(least), _RUN)
+    runs = keyed(docs).mapInArrow(_shards(least, common_grams(docs, least)), _RUN)
     found = runs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_merge(least), "doc long, th int, start int, n int, kept long, kept_start int")
     w = Window.partitionBy("doc", "th", "kept", (F.col("start") - F.col("kept_start")).alias("shift")).orderBy("start")
     first = F.coalesce((F.col("start") > F.max(F.col("start") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
