@@ -242,6 +242,29 @@ def test_hot_minimizer_in_bounded_memory(docs, monkeypatch):
     assert found == got
 
 
+def test_common_words_gather_no_different_passages(docs, monkeypatch):
+    """45 words that all documents have, each followed by others: one minimizer for nearly all, unless those are known as common."""
+    p = prose(45, 1)
+    texts = [f"{prose(40, i, 10**6)} {p} {prose(40, 900 + i, 10**6)}" for i in range(200)] + [f"{p} {prose(30, 900, 10**6)}"] * 3
+    d = docs(texts)
+    monkeypatch.setattr(suffix, "SAMPLE", 1)
+    common = suffix.common_grams(d, 50)
+    assert len(common) == 26 and not len(suffix.common_grams(d.limit(10), 50)) and not len(suffix.common_grams(d.limit(0), 50))
+
+    def largest(known):
+        """Of the groups of passages by minimizer, the greatest number of different ones."""
+        groups = {}
+        for i, t in enumerate(texts):
+            for b in suffix._shards(50, known)(pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x]), pa.array([0], pa.int32())], ["key", "text", "th"]) for k, x in [(i, t)]):
+                for key, blob in zip(b.column("key").to_pylist(), b.column("prints").to_pylist()):
+                    groups.setdefault(key, set()).update(blob[j : j + 8] for j in range(0, len(blob or b""), 8))
+        return max(map(len, groups.values()))
+
+    assert largest(np.zeros(0, np.uint64)) > 500 and largest(common) < 60
+    got = {(s.doc_id, s.start_word + k) for s in suffix.repeated_passages(d).collect() for k in range(s.n_words - 49)}
+    assert got == brute_repeats(list(enumerate(texts)), 50)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01/documents.parquet").exists(), reason="no tables")
 def test_repeats_of_a_whole_table_against_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
