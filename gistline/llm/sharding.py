@@ -1,7 +1,8 @@
 """Shards of a growing table, by size-tiered compaction under versioned manifests.
 
-A store is a folder: data/ holds immutable Parquet shards, manifests/ holds one JSON file per version, which lists the shards of
-that version with their rows and bytes. Arrivals are appended as small shards. Compaction takes shards below the target
+A store is a folder: data/ holds immutable Parquet shards, manifests/ holds one JSON file per version, which names the parts of its
+list of shards; parts/ holds these, with the shards' rows and bytes. A commit writes one part and takes over all those in which
+nothing changed, so that it doesn't write anew what a large store has. Arrivals are appended as small shards. Compaction takes shards below the target
 size by tiers of like size (powers of `fanout`); a tier of at least `fanout` shards is merged into files of about the target
 size, each by one task that streams row groups. A version is committed by creating its manifest, which fails if there is
 one already; readers see whole versions only. Files that tasks wrote in vain are in no manifest, and vacuum() removes them.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,31 +42,52 @@ class Store:
 
     # manifests
 
+    def _list(self, folder: str) -> list:
+        """What is in a folder of the store, by one call."""
+        from pyarrow.fs import FileSelector
+
+        files, path = filesystem(f"{self.root}/{folder}")
+        return files.get_file_info(FileSelector(path, allow_not_found=True))
+
+    def _json(self, path: str) -> dict:
+        files, path = filesystem(f"{self.root}/{path}")
+        with files.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _put(self, path: str, what) -> None:
+        files, path = filesystem(f"{self.root}/{path}")
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path) as f:
+            f.write(json.dumps(what).encode())
+
     def versions(self) -> list[int]:
-        folder = self._path(f"{self.root}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json") and s.getPath().getName()[0] == "v")
+        return sorted(int(i.base_name[1:-5]) for i in self._list("manifests") if i.base_name.endswith(".json") and i.base_name[0] == "v")
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, schema, shards}; shards: [{path, rows, bytes}]. Without any commit, version 0 without shards."""
+        """{version, schema, shards, parts}; shards: [{path, rows, bytes}], parts: the paths of each part's shards. Without any commit,
+        version 0 without shards."""
         known = self.versions()
         version = (known[-1] if known else 0) if version is None else version
         if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        files, path = filesystem(f"{self.root}/manifests/v{version:010d}.json")
-        with files.open_input_stream(path) as f:
-            return json.loads(f.read())
+            return {"version": 0, "schema": None, "shards": [], "parts": {}}
+        m = self._json(f"manifests/v{version:010d}.json")
+        with ThreadPoolExecutor(16) as pool:
+            lists = dict(zip(m["parts"], pool.map(lambda p: self._json(f"parts/{p}"), m["parts"])))
+        return m | {"shards": sorted((s for l in lists.values() for s in l), key=lambda s: s["path"]), "parts": {p: [s["path"] for s in l] for p, l in lists.items()}}
 
     def _commit(self, base: dict, shards: list[dict], schema) -> dict:
         """The version after base. The manifest is written beside and moved in place only if there is none."""
-        new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
-        folder = f"{self.root}/manifests"
-        self._fs.mkdirs(self._path(folder))
-        draft, final = f"{folder}/.draft-{uuid.uuid4().hex}", f"{folder}/v{new['version']:010d}.json"
-        files, path = filesystem(draft)
-        with files.open_output_stream(path) as f:
-            f.write(json.dumps(new).encode())
+        live = {s["path"] for s in shards}
+        parts = {p: paths for p, paths in base["parts"].items() if live.issuperset(paths)}
+        old = {path for paths in parts.values() for path in paths}
+        rest = [s for s in shards if s["path"] not in old]
+        if rest:
+            name = f"{uuid.uuid4().hex}.json"
+            self._put(f"parts/{name}", rest)
+            parts[name] = [s["path"] for s in rest]
+        new = {"version": base["version"] + 1, "schema": schema, "parts": sorted(parts)}
+        draft, final = f"{self.root}/manifests/.draft-{uuid.uuid4().hex}", f"{self.root}/manifests/v{new['version']:010d}.json"
+        self._put(draft.removeprefix(self.root + "/"), new)
         if final.startswith("file:") or "://" not in final:
             import os
 
@@ -77,7 +100,7 @@ class Store:
         elif not self._fs.rename(self._path(draft), self._path(final)):  # distributed file systems refuse an existing target
             self._fs.delete(self._path(draft), False)
             raise Conflict(final)
-        return new
+        return new | {"shards": sorted(shards, key=lambda s: s["path"]), "parts": parts}
 
     # appends
 
@@ -111,8 +134,8 @@ class Store:
     def _write(self, df: DataFrame, rows: int = 0) -> list[dict]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", self.codec).option("maxRecordsPerFile", rows).parquet(folder)
-        sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
-        files = [{"path": f"{folder.removeprefix(self.root + '/')}/{n}", "bytes": b} for n, b in sizes.items()]
+        folder = folder.removeprefix(self.root + "/")
+        files = [{"path": f"{folder}/{i.base_name}", "bytes": i.size} for i in self._list(folder) if i.base_name.endswith(".parquet")]
         return sorted(self._counted(files), key=lambda f: f["path"])
 
     def _counted(self, files: list[dict]) -> list[dict]:
@@ -229,20 +252,22 @@ class Store:
         """vacuum(), but for files that are still to be committed."""
         known = self.versions()[-keep:]
         live = {s["path"] for v in known for s in self.manifest(v)["shards"]} | {f["path"] for f in coming}
-        data = self._path(f"{self.root}/data")
-        if self._fs.exists(data):
-            for folder in self._fs.listStatus(data):
-                left = 0
-                for f in self._fs.listStatus(folder.getPath()):
-                    if f"data/{folder.getPath().getName()}/{f.getPath().getName()}" in live:
-                        left += 1
-                    else:
-                        self._fs.delete(f.getPath(), False)
-                if not left:
-                    self._fs.delete(folder.getPath(), True)
+        for folder in self._list("data"):
+            left = 0
+            for i in self._list(f"data/{folder.base_name}"):
+                if f"data/{folder.base_name}/{i.base_name}" in live:
+                    left += 1
+                else:
+                    filesystem(self.root)[0].delete_file(i.path)
+            if not left:
+                filesystem(self.root)[0].delete_dir(folder.path)
         for v in self.versions():
             if v not in known:
                 self._fs.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
+        named = {p for v in known for p in self._json(f"manifests/v{v:010d}.json")["parts"]}
+        for i in self._list("parts"):
+            if i.base_name not in named:
+                filesystem(self.root)[0].delete_file(i.path)
 
 
 def _names(schema: str) -> list[tuple[str, str]]:
