@@ -355,6 +355,7 @@ def test_store(spark, docs):
     for k in range(7):
         st.append(docs([prose(100, 10 * k + i) for i in range(5)], 10 * k).repartition(2))
     before = st.manifest()
+    assert len(before["parts"]) == 7 and len(st._list("parts")) == 7  # each append wrote its own alone
     assert before["version"] == 7 and sum(s["rows"] for s in before["shards"]) == 35
     after = st.compact()
     assert len(after["shards"]) < len(before["shards"]) / 2 and not st.plan(after["shards"])
@@ -365,6 +366,7 @@ def test_store(spark, docs):
         st.append(spark.range(3))
     st.vacuum()
     assert st.versions() == [after["version"]] and st.read().count() == 35
+    assert {i.base_name for i in st._list("parts")} == set(after["parts"]) == set(st.manifest()["parts"])
 
 
 def test_arrivals_fill_tiers_and_are_merged(spark, docs):
