@@ -1,23 +1,26 @@
-"""Near duplicates by SimHash, searched by anchor-point covering.
-
-A document's fingerprint has 128 bits: the signs of sums over its distinct words. Its first 120 bits are eight blocks of
-15. The perfect Hamming code [15, 11] covers each block with radius 1: every block has one codeword, its anchor, at
-distance 0 or 1. A fingerprint lives at the anchor of each block, and visits every anchor within the covering radius plus
-the block threshold of 1, that is within 2. Two fingerprints with a block that differs in at most one bit therefore meet at
-an anchor, whatever the block; and fingerprints that differ in at most 15 of the 120 bits always have such a block. Those
-that meet are compared in all 128 bits.
-
-Fingerprints up to `threshold` bits apart (20) are near; 16 to 20 bits are found with the chance that a block has at most one
-of them (over 0.93 at 20). Documents linked by near fingerprints form a group, whose lowest doc_id stays.
-
-Equal fingerprints are one throughout; an anchor gives no more links than it takes to connect those that it finds near, so that
-a large group of copies doesn't give all its pairs. Nor are all of them compared: of those at home, one that is near an
-earlier one follows it, and what is near a leader needs no comparison with its followers; what is over twice the threshold
-from the leader can't be near them. A task holds the fingerprints that live at one anchor; visitors pass by.
+"""Near duplicates by SimHash, all of them, found by blocks of the fingerprints.
+
+A document's fingerprint has 128 bits: the signs of sums over its distinct words. Fingerprints up to `threshold` bits apart
+(20) are near. Six blocks share those bits out, each with a radius, so that the radii and one more for each block come to
+threshold + 1: fingerprints that are near differ by at most the radius in some block, or they would be over the threshold
+apart. No pair is left to chance.
+
+A block's highest bits are its place. A fingerprint lives at its own place in each block, and visits the lower places within
+the radius. A task holds those that live at one place, in cells by the block's other bits; whoever lives there or visits looks
+into the cells that its radius still reaches, and is compared in all 128 bits with those in them. Where fewer live than there
+would be cells to look into, all are compared.
+
+Documents linked by near fingerprints form a group, whose lowest doc_id stays. Equal fingerprints are one throughout; a place
+gives no more links than it takes to connect those that it finds near, so that a large group of copies doesn't give all its
+pairs. Nor are all of them compared: in a crowded cell, one that is near an earlier one follows it, and what is near a leader
+needs no comparison with its followers; what is over twice the threshold from the leader can't be near them.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,9 @@ from . import words
 from .shared import column, drop, fresh, keyed, parts, remove, scratch, ship, table, with_key
 
 U = np.uint64
-BLOCKS, BITS, THRESHOLD = 8, 15, 20
+BITS, THRESHOLD = 15, 20
+#: Bits of the blocks, wide ones first: theirs are the greater radii. A cell of over CROWD fingerprints chooses leaders.
+WIDTHS, CROWD = (23, 23, 23, 20, 20, 19), 64
 _SLICE = 1 << 16
 
 
@@ -51,10 +56,32 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return home.astype(np.int32), np.array([n + [-1] * (width - len(n)) for n in near], np.int32)
 
 
+#: The code's tables. The search of near pairs has no use for them: blocks of such words miss pairs over 15 bits apart.
 HOME, NEAR = _tables()
 SYNDROME = _syndromes().astype(np.int8)
 
 
+def radii(threshold: int) -> list[int]:
+    """Of each block; -1 where none of its pairs is needed. Each radius and one more come to threshold + 1."""
+    each, more = divmod(threshold + 1, len(WIDTHS))
+    return [min(w, each - 1 + (k < more)) for k, w in enumerate(WIDTHS)]
+
+
+@lru_cache
+def _masks(width: int, weight: int) -> np.ndarray:
+    """All words of that width with that many ones."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), weight)], np.int32)
+
+
+def _block(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The fingerprints' bits in block k."""
+    at, width = sum(WIDTHS[:k]), WIDTHS[k]
+    x = (b if at >= 64 else a) >> U(at % 64)
+    if at < 64 < at + width:
+        x = x | b << U(64 - at)
+    return (x & U((1 << width) - 1)).astype(np.int32)
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit halves for each text as an (n, 2) array, and the number of its distinct words."""
     w = words.words_of(texts)
@@ -85,25 +112,35 @@ def _fingerprint_batches(batches):
                 yield out.filter(pa.array(n > 0))
 
 
-def _cover(batches):
-    """Rows (anchor, home, key, a, b): one at each block's anchor, and one at each other anchor within distance 2."""
-    for whole in batches:
-        for i in range(0, whole.num_rows, 4096):
-            batch = whole.slice(i, 4096)
-            f = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1).view(U)
-            row, anchor, home = [], [], []
-            for k in range(BLOCKS):
-                at = BITS * k
-                x = f[:, at // 64] >> U(at % 64)
-                if at % 64 > 64 - BITS:
-                    x = x | f[:, 1] << U(64 - at % 64)
-                x = (x & U((1 << BITS) - 1)).astype(np.int32)
-                masks = NEAR[SYNDROME[x]]
-                r, c = np.nonzero(masks >= 0)
-                spot = x[r] ^ masks[r, c]
-                row.append(r), anchor.append(spot | k << BITS), home.append(spot == HOME[x[r]])
-            row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchor).astype(np.int32)), pa.array(np.concatenate(home)), *(batch.column(c).take(row) for c in range(3))], ["anchor", "home", "key", "a", "b"])
+def _cover(threshold: int, top: int):
+    def cover(batches):
+        """Rows (place, flips, key, a, b): one at each block's own place, and one at each lower place within the radius, with the bits between."""
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                a, b = (batch.column(c).to_numpy().view(U) for c in (1, 2))
+                row, place, flips = [], [], []
+                for k, radius in enumerate(radii(threshold)):
+                    own = _block(k, a, b) >> WIDTHS[k] - top
+                    for e in range(min(radius, top) + 1):
+                        to = own[:, None] ^ _masks(top, e)
+                        r, c = np.nonzero(to <= own[:, None])
+                        row.append(r), place.append(to[r, c] | k << top), flips.append(np.full(len(r), e, np.int8))
+                row = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(flips)), *(batch.column(c).take(row) for c in range(3))], ["place", "flips", "key", "a", "b"])
+
+    return cover
+
+
+def _runs(begin: np.ndarray, count: np.ndarray, most: int = 1 << 20):
+    """Of runs of places: the run and the place of every one, a bounded number (or one run) at a time."""
+    upto, k = np.cumsum(count), 0
+    while k < len(count):
+        e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + most, side="right")))
+        n = count[k:e]
+        run = np.repeat(np.arange(k, e), n)
+        yield run, begin[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        k = e
 
 
 def _distances(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray):
@@ -116,7 +153,7 @@ def _distances(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray):
 
 
 class _Anchor:
-    """An anchor's fingerprints: those at home, against whom all are compared as they come, and the links found.
+    """Fingerprints that are all compared: those at home, with whom all are compared as they come, and the links found.
 
     Without all_pairs, those at home that are near an earlier one follow it, as their leader; links connect the near ones.
     """
@@ -152,16 +189,20 @@ class _Anchor:
             self.a, self.b, self.key = np.append(self.a, a[i:j]), np.append(self.b, b[i:j]), np.append(self.key, key[i:j])
             self.lead, self.root, self.leaders = np.append(self.lead, lead), np.append(self.root, np.arange(len(self.root), len(self.key))), None
             i = j
-        for p, q in self._near(key[m:], a[m:], b[m:]):  # a visitor links all that it is near to
-            if self.all_pairs:
-                yield self._pairs(self.key[p], key[m:][q])
-                continue
-            order = np.lexsort((p, q))
-            p, q = p[order], q[order]
-            first = np.concatenate([[True], q[1:] != q[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-            yield self.key[p[first]], key[m:][q[first]]
-            yield from self._join(p[~first], p[at][~first], self.key)
+        for p, q in self._near(key[m:], a[m:], b[m:]):
+            yield from self._tie(p, key[m:][q])
+
+    def _tie(self, p: np.ndarray, key: np.ndarray):
+        """Links of those at home with visitors: a visitor links all that it is near to."""
+        if self.all_pairs:
+            yield self._pairs(self.key[p], key)
+            return
+        order = np.lexsort((p, key))
+        p, key = p[order], key[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        yield self.key[p[first]], key[first]
+        yield from self._join(p[~first], p[at][~first], self.key)
 
     @staticmethod
     def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +212,7 @@ class _Anchor:
         """Places (at home, in the rows) of near ones, of others than themselves; for a row near a leader, its followers are left out."""
         if not len(key) or not len(self.key):
             return
-        if self.leaders is None:
-            self.leaders = np.flatnonzero(self.lead == np.arange(len(self.lead)))
-            self.order = np.argsort(self.lead, kind="stable")
-            self.order = self.order[self.lead[self.order] != self.order]
-            follows = np.searchsorted(self.leaders, self.lead[self.order])
-            self.count = np.bincount(follows, minlength=len(self.leaders))
-            self.begin = np.cumsum(self.count) - self.count
+        self._index()
         for i, d in _distances(self.a[self.leaders], self.b[self.leaders], a, b):
             p, q = np.nonzero(d <= self.threshold)
             p = self.leaders[p + i]
@@ -189,17 +224,25 @@ class _Anchor:
                 continue
             p, q = np.nonzero((d[led] > self.threshold) & (d[led] <= 2 * self.threshold))
             p = led[p] + i
-            upto, k = np.cumsum(self.count[p]), 0
-            while k < len(p):
-                e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + (1 << 20), side="right")))
-                n = self.count[p[k:e]]
-                row = np.repeat(np.arange(k, e), n)
-                x = self.order[self.begin[p[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
-                y = q[row]
-                ok = (np.bitwise_count(self.a[x] ^ a[y]) + np.bitwise_count(self.b[x] ^ b[y]) <= self.threshold) & (self.key[x] != key[y])
-                if ok.any():
-                    yield x[ok], y[ok]
-                k = e
+            yield from self._followers(p, q, key, a, b)
+
+    def _followers(self, p: np.ndarray, q: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray):
+        """Places (at home, in the rows) of near ones among the followers of leaders p (numbered among leaders), for rows q."""
+        for run, x in _runs(self.begin[p], self.count[p]):
+            x, y = self.order[x], q[run]
+            ok = (np.bitwise_count(self.a[x] ^ a[y]) + np.bitwise_count(self.b[x] ^ b[y]) <= self.threshold) & (self.key[x] != key[y])
+            if ok.any():
+                yield x[ok], y[ok]
+
+    def _index(self):
+        """Leaders, and their followers in one order with where each leader's begin."""
+        if self.leaders is None:
+            self.leaders = np.flatnonzero(self.lead == np.arange(len(self.lead)))
+            self.order = np.argsort(self.lead, kind="stable")
+            self.order = self.order[self.lead[self.order] != self.order]
+            follows = np.searchsorted(self.leaders, self.lead[self.order])
+            self.count = np.bincount(follows, minlength=len(self.leaders))
+            self.begin = np.cumsum(self.count) - self.count
 
     def _join(self, p: np.ndarray, q: np.ndarray, key: np.ndarray):
         """Links of those at home, of the given keys, that weren't linked yet."""
@@ -223,24 +266,149 @@ class _Anchor:
                 self.root = further
 
 
-def _compare(threshold: int, all_pairs: bool):
+class _Cells(_Anchor):
+    """A place of block k: those at home in cells by the block's lower bits, of which a row looks into those within its radius.
+
+    Rows come in order, those at home (flips 0) first; end() is called after the last. Up to `few` at home, all are compared.
+    """
+
+    def __init__(self, threshold: int, all_pairs: bool, k: int, top: int, few: int | None = None):
+        super().__init__(threshold, all_pairs)
+        self.k, self.low, self.radius = k, WIDTHS[k] - top, radii(threshold)[k]
+        self.masks = [_masks(self.low, w) for w in range(min(self.radius, self.low) + 1)]
+        self.few = sum(map(len, self.masks)) if few is None else few
+        self.waiting, self.held, self.size, self.first = [], [], 0, None
+
+    def add(self, flips: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray):
+        m = int((flips == 0).sum())
+        if m:
+            self.waiting.append((key[:m], a[:m], b[:m]))
+        if m == len(key):
+            return
+        yield from self._settle()
+        flips, key, a, b = flips[m:], key[m:], a[m:], b[m:]
+        if self.first is None:
+            yield from super().add(np.zeros(len(key), bool), key, a, b)
+            return
+        for e in np.unique(flips):
+            at = np.flatnonzero(flips == e)
+            for p, q in self._look(key[at], a[at], b[at], int(e)):
+                self.held.append((p, key[at][q]))
+                self.size += len(p)
+        if self.size > max(1 << 16, len(self.key)):
+            yield from self._tie_held()
+
+    def end(self):
+        yield from self._settle()
+        yield from self._tie_held()
+
+    def _tie_held(self):
+        if self.held:
+            p, key = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.size = [], 0
+            yield from self._tie(p, key)
+
+    def _settle(self):
+        """All at home have come: cells are made, crowded ones choose leaders, and those at home look into their own and lower cells."""
+        if not self.waiting:
+            return
+        key, a, b = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting = []
+        if len(key) <= self.few:
+            yield from super().add(np.ones(len(key), bool), key, a, b)
+            return
+        cell = self._cell(a, b)
+        order = np.argsort(cell, kind="stable")
+        cell, self.key, self.a, self.b = cell[order], key[order], a[order], b[order]
+        n = len(cell)
+        self.lead, self.root = np.arange(n), np.arange(n)
+        heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        ends = np.append(heads[1:], n)
+        crowded = ends - heads > CROWD
+        for s, e in zip(heads[crowded].tolist(), ends[crowded].tolist()):
+            crowd = _Anchor(self.threshold, self.all_pairs)
+            yield from crowd.add(np.ones(e - s, bool), self.key[s:e], self.a[s:e], self.b[s:e])
+            self.lead[s:e], self.root[s:e] = s + crowd.lead, s + crowd.root
+        self._index()
+        self.first = np.searchsorted(cell[self.leaders], np.arange((1 << self.low) + 1)).astype(np.int32)
+        self.some = self.first[1:] > self.first[:-1]
+        self.la, self.lb = self.a[self.leaders], self.b[self.leaders]
+        done = np.zeros(1 << self.low, bool)
+        done[cell[heads[crowded]]] = True
+        found, size = [], 0
+        for i in range(0, n, 4096):
+            s = slice(i, i + 4096)
+            for p, q in self._look(self.key[s], self.a[s], self.b[s], 0, i, done):
+                found.append((p, q + i))
+                size += len(p)
+            if found and (size > max(1 << 16, n) or i + 4096 >= n):
+                p, q = (np.concatenate(x) for x in zip(*found))
+                found, size = [], 0
+                if self.all_pairs:
+                    yield self._pairs(self.key[p], self.key[q])
+                else:
+                    yield from self._join(p, q, self.key)
+
+    def _cell(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _block(self.k, a, b) & (1 << self.low) - 1
+
+    def _look(self, key: np.ndarray, a: np.ndarray, b: np.ndarray, flips: int, at: int | None = None, done: np.ndarray | None = None):
+        """Places (at home, in the rows) of near ones, in the cells within what flips leave of the radius; for a row near a leader,
+        its followers are left out. Of rows that are those at home from `at` on, only with earlier ones, and not within cells that are done."""
+        cell = self._cell(a, b)
+        most = 2 * self.threshold if len(self.order) else self.threshold
+        masks = np.concatenate(self.masks[: self.radius - flips + 1])
+        step = max(1, (1 << 19) // len(cell))
+        for i in range(0, len(masks), step):
+            to = cell[:, None] ^ masks[i : i + step]
+            there = self.some[to]
+            if at is not None:
+                there &= to <= cell[:, None]
+                if i == 0:  # the first mask is none
+                    there[:, 0] &= ~done[cell]
+            r, c = np.nonzero(there)
+            to = to[r, c]
+            for run, x in _runs(self.first[to], self.first[to + 1] - self.first[to]):
+                q = r[run]
+                if at is not None:
+                    earlier = self.leaders[x] < q + at
+                    x, q = x[earlier], q[earlier]
+                d = np.bitwise_count(self.la[x] ^ a[q])
+                half = np.flatnonzero(d <= most)
+                x, q = x[half], q[half]
+                d = d[half] + np.bitwise_count(self.lb[x] ^ b[q])
+                near = d <= self.threshold
+                p, y = self.leaders[x[near]], q[near]
+                other = self.key[p] != key[y]
+                if other.any():
+                    yield p[other], y[other]
+                if len(self.order):
+                    far = ~near & (d <= most) & (self.count[x] > 0)
+                    yield from self._followers(x[far], q[far], key, a, b)
+
+
+def _compare(threshold: int, all_pairs: bool, top: int):
     def compare(batches):
-        """A partition holds its anchors' rows, sorted by anchor, those at home first: each against all that visit."""
+        """A partition holds its places' rows, sorted by place, those at home first: each against all that it looks at."""
         now, at, found, size = None, None, [], 0
         for b in batches:
-            anchor, home, key, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
-            for s, e in zip(heads, np.append(heads[1:], len(anchor))):
-                if anchor[s] != at:
-                    at, now = anchor[s], _Anchor(threshold, all_pairs)
+            place, flips, key, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+            for s, e in zip(heads, np.append(heads[1:], len(place))):
+                if place[s] != at:
+                    for links in now.end() if now else ():
+                        found.append(links)
+                        size += len(links[0])
+                    at, now = place[s], _Cells(threshold, all_pairs, int(place[s]) >> top, top)
                 for i in range(int(s), int(e), 4096):
                     j = min(int(e), i + 4096)
-                    for links in now.add(home[i:j], key[i:j], x[i:j].view(U), y[i:j].view(U)):
+                    for links in now.add(flips[i:j], key[i:j], x[i:j].view(U), y[i:j].view(U)):
                         found.append(links)
                         size += len(links[0])
                 if size > 1 << 18:
                     yield _links(found)
                     found, size = [], 0
+        found += now.end() if now else []
         if found:
             yield _links(found)
 
@@ -255,9 +423,12 @@ def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, all_pairs: bool = True) -> DataFrame:
     """x < y: keys of fingerprints (key, a, b) at most threshold bits apart; or, of those, links enough to connect the same ones."""
-    cover = prints.select("key", "a", "b").mapInArrow(_cover, "anchor int, home boolean, key long, a long, b long")
-    sorted_ = cover.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.desc("home"))
-    return sorted_.mapInArrow(_compare(threshold, all_pairs), "x long, y long").distinct()
+    n = prints.count()
+    top = min(12, max(4, (n >> 21).bit_length()))  # up to some 2 million live at a place
+    tasks = min(len(WIDTHS) << top, 1 + (n >> 11))
+    cover = prints.select("key", "a", "b").mapInArrow(_cover(threshold, top), "place int, flips byte, key long, a long, b long")
+    sorted_ = cover.repartition(tasks, "place").sortWithinPartitions("place", "flips")
+    return sorted_.mapInArrow(_compare(threshold, all_pairs, top), "x long, y long").distinct()
 
 
 def components(spark, pairs: DataFrame) -> DataFrame:

@@ -166,6 +166,70 @@ def test_anchor_against_all_pairs():
     assert n == len({int(x) for x in np.arange(60_000)}) - len(set(anchor.root.tolist())) and time.time() - began < 30
 
 
+def test_every_near_pair_is_found(spark):
+    """Pairs of 16 to 20 bits, spread over all blocks of any kind as evenly as can be, or anyhow; none over 20."""
+    r = random.Random(15)
+    prints = []
+    for i in range(600):
+        a, n = r.getrandbits(128), r.randrange(14, 24)
+        apart = r.sample(range(128), n) if i % 3 else [(128 * k // n + i) % 128 for k in range(n)]
+        prints += [(2 * i, a), (2 * i + 1, a ^ sum(1 << f for f in apart))]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(k, signed(v & (1 << 64) - 1), signed(v >> 64)) for k, v in prints], "key long, a long, b long")
+    want = {(k, m) for i, (k, v) in enumerate(prints) for m, w in prints[i + 1 :] if (v ^ w).bit_count() <= 20}
+    assert {tuple(p) for p in simhash.near_pairs(df).collect()} == want
+    assert {tuple(p) for p in simhash.near_pairs(df, 7).collect()} == set()
+    assert {tuple(p) for p in simhash.near_pairs(df, 23).collect()} == {(2 * i, 2 * i + 1) for i in range(600)}
+
+
+def test_radii():
+    assert sum(simhash.WIDTHS) == 128
+    for t in range(60):
+        assert sum(r + 1 for r in simhash.radii(t)) == t + 1 and max(simhash.radii(t)) <= min(simhash.WIDTHS)
+
+
+def test_cells_against_all_pairs():
+    """A block's places, in batches of any size, give its pairs, and links that connect them: by cells, crowded ones too, and all compared."""
+    r = np.random.default_rng(9)
+    for trial in range(18):
+        k, top, few = int(r.integers(0, 6)), int(r.integers(1, 6)), [0, None][trial % 2]
+        at, width, radius = sum(simhash.WIDTHS[:k]), simhash.WIDTHS[k], simhash.radii(20)[k]
+        f = r.integers(0, 2, (int(r.integers(1, 5)), 128), dtype=np.uint8)
+        f = f[r.integers(0, len(f), 250)] ^ (r.random((250, 128)) < r.choice([0.02, 0.06, 0.1])).astype(np.uint8)
+        if trial % 3 == 0:
+            f[:, at : at + width] = f[0, at : at + width]  # one crowded cell
+            f[::7, at] ^= 1
+        f = np.unique(f, axis=0)
+        f = f[r.permutation(len(f))]
+        a, b = np.packbits(f, axis=1, bitorder="little").view(np.uint64).T.copy()
+        key = r.permutation(len(f)) * 7
+        d, by = (f[:, None] != f[None]).sum(axis=2), (f[:, None, at : at + width] != f[None, :, at : at + width]).sum(axis=2)
+        least = {tuple(sorted((int(key[i]), int(key[j])))) for i, j in np.argwhere((d <= 20) & (by <= radius)) if i != j}
+        most = {tuple(sorted((int(key[i]), int(key[j])))) for i, j in np.argwhere(d <= 20) if i != j}
+        rows = next(simhash._cover(20, top)([pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["key", "a", "b"])]))
+        place, flips, key, a, b = (rows.column(c).to_numpy() for c in range(5))
+        mine = np.flatnonzero(place >> top == k)
+        mine = mine[np.lexsort((flips[mine], place[mine]))]
+        got = {}
+        for all_pairs in (True, False):
+            found, size = [], int(r.integers(20, 300))
+            for p in np.unique(place[mine]):
+                at_p, cells = mine[place[mine] == p], simhash._Cells(20, all_pairs, k, top, few)
+                for i in range(0, len(at_p), size):
+                    s = at_p[i : i + size]
+                    found += cells.add(flips[s], key[s], a[s].view(np.uint64), b[s].view(np.uint64))
+                found += cells.end()
+            got[all_pairs] = {tuple(sorted(x)) for x in np.concatenate([np.stack(x, 1) for x in found] or [np.zeros((0, 2), int)]).tolist()}
+        assert least <= got[True] <= most
+        for links, pairs in ((got[False], least), (most, got[False])):  # links go from root to root
+            root = {x: x for x in range(0, 7 * len(f), 7)}
+            for x, y in links:
+                x, y = root[x], root[y]
+                if x != y:
+                    root = {z: x if at_z == y else at_z for z, at_z in root.items()}
+            assert all(root[x] == root[y] for x, y in pairs)
+
+
 def test_equal_rows_keep_the_first_by_all_columns(spark):
     d = spark.createDataFrame([(1, "some text here", 3, {"a": 1}), (1, "some text here", 2, {"b": 2}), (2, None, 5, None), (2, None, 4, None)], "doc_id long, text string, place int, `m.ap` map<string,int>")
     assert sorted((x.doc_id, x.place) for x in simhash.drop_near_duplicates(d).collect()) == [(1, 2), (2, 4)]
