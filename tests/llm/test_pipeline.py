@@ -48,6 +48,28 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(map(repr, pipeline.run(spark, root).collect())) == sorted(map(repr, after["packing"]))
 
 
+def test_near_copies_whose_bits_differ_everywhere(spark, docs):
+    """The second stage drops the later of two texts at most 20 bits apart, though each 15 bits of the fingerprints differ in two or more."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gistline.llm import simhash
+
+    r, texts = random.Random(21), []
+    for i in range(3000):
+        w = prose(150, 10_000 + i, 10**5).split()
+        texts.append(" ".join(w))
+        for k in r.sample(range(150), 17):
+            w[k] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    f = np.unpackbits(simhash.fingerprints(pa.array(texts))[0].view(np.uint8), axis=1, bitorder="little")
+    apart = f[::2] != f[1::2]
+    hard = np.flatnonzero((apart.sum(axis=1) <= 20) & (apart[:, :120].reshape(-1, 8, 15).sum(axis=2) >= 2).all(axis=1))
+    some = [texts[2 * i + k] for i in hard.tolist() for k in (0, 1)]
+    assert len(hard) >= 5
+    assert {x.doc_id for x in pipeline.near_copies(spark, docs(some), "").collect()} == {*range(0, len(some), 2)}
+
+
 def odd_tables(spark, root, docs, labels, items):
     docs.write.parquet(f"{root}/documents.parquet")
     labels.write.parquet(f"{root}/labels.parquet")
