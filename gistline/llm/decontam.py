@@ -3,11 +3,13 @@
 A mask names the word positions of a window that count; the others may hold any word. Every window of the training
 documents and of the benchmark items is hashed under each mask, and equal hashes join them. Around a hit, item and document
 are compared word by word on the hit's diagonal: an overlap is the stretch of greatest score (a match 1, a substitution
--PENALTY), and counts if it has LEAST matching words, or all of a shorter item's. An item of which ALIKE of all words match
-on the diagonal counts as well, from its first match to its last; at least CERTAIN words have to, as many as a mask holds.
-Such copies are all found, at any length: of an item's pieces of PIECE words, one more than there may be substitutions are
-sought, so that one of them is whole. Items of fewer than SHORTEST words are no passage that could be told from ordinary
-text: they are not sought, and unusable() lists them.
+-PENALTY), and counts if it has LEAST matching words, or all of a shorter item's. No such overlap is left to chance: from
+any of its places to its end the score is positive, so its last LEAST matches have at most three substitutions among them,
+in one of 91 orders, and one of the masks fits within the matches of each (a lesser `least` has more orders, of which some
+are missed). An item of which ALIKE of all words match on the diagonal counts as well, from its first match to its last; at
+least CERTAIN words have to, as many as a mask holds. Such copies are all found, at any length: of an item's pieces of PIECE
+words, one more than there may be substitutions are sought, so that one of them is whole. Items of fewer than SHORTEST words
+are no passage that could be told from ordinary text: they are not sought, and unusable() lists them.
 
 Of consecutive hits on one diagonal only the first is taken, so that repetitive texts (number grids, tables) give as many
 diagonals as they have places and not their product; and of a document's and an item's diagonals, those after a whole copy
@@ -28,7 +30,8 @@ from . import words
 from .shared import column, keyed, parts, ship, table, with_key
 
 U = np.uint64
-MASKS = ("11101101011", "1101110010111", "111010011000111", "1100101101000001011")
+#: Made for LEAST and PENALTY: a lesser one of either needs other masks.
+MASKS = ("10011101111", "11010011111", "101001101111", "11000101011011")
 LEAST, PENALTY = 12, 3
 ALIKE, CERTAIN, PIECE, SHORTEST = 0.75, 8, 3, 3
 _PIECES = -1  # where the pieces stand among the masks

@@ -70,6 +70,37 @@ def test_near_copies_whose_bits_differ_everywhere(spark, docs):
     assert {x.doc_id for x in pipeline.near_copies(spark, docs(some), "").collect()} == {*range(0, len(some), 2)}
 
 
+def orders(matches, penalty):
+    """All ways ("1" a match, "0" a substitution) in which the last so many matches of an overlap may stand."""
+    out, todo = [], [("1", 1)]
+    while todo:
+        s, score = todo.pop()
+        if s.count("1") == matches:
+            out.append(s)
+            continue
+        todo += [("1" + s, score + 1)] + [("0" + s, score - penalty)] * (score > penalty)
+    return out
+
+
+def test_leaks_whatever_the_order_of_their_substitutions(spark, docs, tmp_path):
+    """The fourth stage drops documents with 12 matching words of a long item in one stretch, wherever substitutions stand; one match less stays."""
+    from gistline.llm import decontam
+
+    item, some = prose(60, 8000, 10**6).split(), orders(decontam.LEAST, decontam.PENALTY)
+    assert len(some) == 91 and "11111011101111" in some
+    texts, stay = [], set()
+    for i, s in enumerate(some):
+        score = [sum(1 if c == "1" else -decontam.PENALTY for c in s[:k]) for k in range(len(s))]
+        longer = "1" * -min(score) + s  # so that the stretch of greatest score begins no later
+        for s in [longer] + ["0" + s[1:]] * (s == longer):
+            stay |= {len(texts)} if s[0] == "0" else set()
+            a = (i * 7) % (len(item) - len(s))
+            w = [item[a + k] if c == "1" else f"sub{k}" for k, c in enumerate(s)]
+            texts.append(" ".join([prose(i % 30, 8100 + i), *w, prose(i % 20, 8300 + i)]))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {x.doc_id for x in pipeline.leaks(spark, docs(texts), str(tmp_path)).collect()} == stay != set()
+
+
 def odd_tables(spark, root, docs, labels, items):
     docs.write.parquet(f"{root}/documents.parquet")
     labels.write.parquet(f"{root}/labels.parquet")
