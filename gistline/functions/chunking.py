@@ -1,15 +1,17 @@
-"""Packing segments into overlapping chunks: a fold over segment lengths that carries integers alone."""
+"""Packing segments into overlapping chunks: as an Arrow function, and as an expression, a fold over segment lengths that carries integers alone."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import segments, weighted_length
-
-OVERLAP, SHORT_TAIL = 10, 16
+from ..ship import ship
+from .cutting import OVERLAP, SHORT_TAIL, Chunks, Cut
+from .text import ENDINGS, segments, weighted_length
 
 
 def chunk_ranges(lengths: Column, most: int, overlap: int = OVERLAP) -> Column:
@@ -72,8 +74,21 @@ def chunks(text: Column | str, most: int = 150, overlap: int = OVERLAP, **how) -
     return let(segments(text, most, **how), pack)
 
 
-def with_chunks(df: DataFrame, text: str = "text", most: int = 150, overlap: int = OVERLAP, name: str = "chunks", **how) -> DataFrame:
-    return df.withColumn(name, chunks(F.col(text), most, overlap, **how))
+def with_chunks(df: DataFrame, text: str = "text", most: int = 150, overlap: int = OVERLAP, name: str = "chunks", endings: str = ENDINGS, pdf: bool = False) -> DataFrame:
+    """df with the chunks of a text, as chunks() has them, from an Arrow function, which takes a fraction of the expression's time."""
+    cut = Cut(most, overlap, endings, pdf)
+    ship(df.sparkSession)
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out, count, rows = [], [], texts.to_pylist()
+        for i in range(0, len(rows), 256):
+            c = Chunks(rows[i : i + 256], cut)
+            out.append(pa.array(c.texts(), pa.string()))
+            count += c.count
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(count)], pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.string()))
+
+    return df.withColumn(name, run.asNondeterministic()(F.col(text)))  # else the optimizer may compute it again in a filter
 
 
 def each(array: Column | str) -> Column:

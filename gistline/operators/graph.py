@@ -17,24 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.cutting import numbered
 from ..scratch import drop, table
-from ..ship import ship
 
-_MOST = 1 << 20  # tokens of documents that are ranked at once (or one longer document), and pairs that are summed at once
+_MOST = 1 << 18  # tokens of documents that are ranked at once (or one longer document), and pairs that are summed at once
 
 
-def pageranks(graph: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def pageranks(
+    graph: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, many: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the nodes of undirected weighted graphs, by power iteration, and whether each graph's converged.
 
     graph: the graph (from 0) of each node. A graph of n nodes is done when its ranks change by less than n * tolerance in all; one
-    that isn't after so many rounds has ranks of 0.
+    that isn't after so many rounds has ranks of 0. many: how many alike nodes each stands for, which have the same edges and so the
+    same rank; an edge from a to a is one between any two of these.
     """
     n = len(graph)
+    many = np.ones(n) if many is None else many
     graphs = int(graph.max()) + 1 if n else 0
-    size = np.bincount(graph, minlength=graphs)
-    src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
-    out = np.bincount(src, w, n)
-    share = w / np.where(out[src] > 0, out[src], 1)
+    size = np.bincount(graph, many, graphs)
+    other = a != b
+    src, dst, w = np.concatenate([a, b[other]]), np.concatenate([b, a[other]]), np.concatenate([weight, weight[other]])
+    out = np.bincount(src, w * (many[dst] - (src == dst)), n)
+    share = w * (many[src] - (src == dst)) / np.where(out[src] > 0, out[src], 1)
     idle = out == 0
     each = size[graph] if n else np.zeros(0, np.int64)
     ranks, done = np.zeros(n), np.zeros(graphs, bool)
@@ -43,9 +48,9 @@ def pageranks(graph: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarra
         if not len(live):
             break
         of = graph[live]
-        lost = np.bincount(of, np.where(idle[live], x, 0), graphs)[of]
+        lost = np.bincount(of, np.where(idle[live], x * many[live], 0), graphs)[of]
         new = damping * (np.bincount(dst, x[src] * share, len(live)) + lost / each[live]) + (1 - damping) / each[live]
-        close = (np.bincount(of, np.abs(new - x), graphs) < size * tolerance) & ~done
+        close = (np.bincount(of, np.abs(new - x) * many[live], graphs) < size * tolerance) & ~done
         ranks[live[close[of]]] = new[close[of]]
         done |= close
         x = new
@@ -127,30 +132,38 @@ class _Pairs:
 
 
 class _Batch:
-    """Tokens of documents' chunks as numbers. A word is a token of a document; `own` has each chunk's distinct words."""
-
-    def __init__(self, chunks: pa.Array, query: pa.Array, has: np.ndarray):
-        self.docs = len(chunks)
-        lists, tokens = _flat(chunks), _flat(chunks.flatten())
-        asked = _flat(query)
-        self.doc, _ = _spread(lists)  # of each chunk
-        self.chunk, place = _spread(tokens)  # of each token
+    """Tokens of documents' chunks as numbers. A word is a token of a document, in their order; `own` has each chunk's distinct words."""
+
+    def __init__(self, chunks: np.ndarray, count: np.ndarray, code: np.ndarray, names: list[str], asked: np.ndarray, asked_code: np.ndarray, has: np.ndarray):
+        """chunks: each document's; count: each chunk's tokens; code: all tokens as places in names, which are sorted; asked, asked_code: the same of the queries."""
+        self.docs, self.chunks, self.count, self.names = len(chunks), chunks, count, names
+        self.doc, _ = _spread(chunks)  # of each chunk
+        self.starts = np.cumsum(chunks) - chunks
+        self.chunk, place = _spread(count)  # of each token
         self.pos = place + 1
         who, _ = _spread(asked)
-        flat = chunks.flatten().flatten().cast(pa.large_string())
-        codes = pa.concat_arrays([flat, query.flatten().cast(pa.large_string())]).dictionary_encode()
-        code, width = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(codes.dictionary))
-        names, self.word = np.unique(self.doc[self.chunk] * width + code[: len(flat)], return_inverse=True)
-        self.words, self.word_doc = len(names), names // width
-        want = np.unique(who * width + code[len(flat) :])
+        width = max(1, len(names))
+        key, self.word = np.unique(self.doc[self.chunk] * width + code, return_inverse=True)
+        self.words, self.word_doc, self.code = len(key), key // width, key % width
+        want = np.unique(who * width + asked_code)
         want = want[has[want // width]]
-        self.wanted = np.isin(names, want)  # words that are in their document's query
+        self.wanted = np.isin(key, want)  # words that are in their document's query
         self.asks = np.bincount(want // width, minlength=self.docs)  # distinct tokens of its query
-        self.chunks = np.bincount(self.doc, minlength=self.docs)
-        self.starts = np.cumsum(self.chunks) - self.chunks
         key, self.at, self.tf = np.unique(self.chunk * max(1, self.words) + self.word, return_inverse=True, return_counts=True)
         self.own_chunk, self.own = key // max(1, self.words), key % max(1, self.words)
         self.distinct = np.bincount(self.own_chunk, minlength=len(self.doc))
+        self.df = np.bincount(self.own, minlength=self.words)
+
+    @classmethod
+    def nested(cls, chunks: pa.Array, query: pa.Array, has: np.ndarray) -> _Batch:
+        inner, asked = chunks.flatten(), query.flatten()
+        names, code = numbered(inner.flatten().to_pylist() + asked.to_pylist())
+        n = len(code) - len(asked)
+        return cls(_flat(chunks), _flat(inner), code[:n], names, _flat(query), code[n:], has)
+
+    def strings(self, words: np.ndarray) -> pa.Array:
+        """The texts of words."""
+        return pa.array(self.names, pa.string()).take(pa.array(self.code[words]))
 
     def places(self, decay: float, first: bool) -> np.ndarray:
         """Of each own: the sum of 1/place, times decay to the power of the first place; or of 1/place times decay to that place's."""
@@ -173,13 +186,13 @@ def _unit_tfidf(group: np.ndarray, n: np.ndarray, df: np.ndarray, tf: np.ndarray
     return raw / np.sqrt(np.bincount(group, raw * raw))[group] if len(raw) else raw
 
 
-def _graph_ranks(doc_of: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float) -> np.ndarray:
+def _graph_ranks(doc_of: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, damping: float, many: np.ndarray | None = None) -> np.ndarray:
     """Ranks of the nodes that have an edge, 0 of the others; each document's graph by itself."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     out = np.zeros(len(doc_of))
     if len(nodes):
         _, graph = np.unique(doc_of[nodes], return_inverse=True)
-        out[nodes] = pageranks(graph, ends[: len(a)], ends[len(a) :], weight, damping)[0]
+        out[nodes] = pageranks(graph, ends[: len(a)], ends[len(a) :], weight, damping, many=None if many is None else many[nodes])[0]
     return out
 
 
@@ -200,13 +213,48 @@ def _topic(b: _Batch, lower: _Batch, has: np.ndarray, r: Ranker) -> np.ndarray:
     return np.where(linked[b.doc], rank * boost, 1 / np.maximum(1, b.chunks)[b.doc])
 
 
-def _semantic(b: _Batch, r: Ranker) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def alike(b: _Batch) -> np.ndarray:
+    """The class of each word: words that occur in the same chunks, in each of them as often."""
+    order = np.argsort(b.own, kind="stable")
+    chunk, tf, start = b.own_chunk[order], b.tf[order], np.cumsum(b.df) - b.df
+    _, out = np.unique(b.df, return_inverse=True)
+    most, k = int(b.tf.max(initial=0)) + 1, 0
+    live, made = np.arange(b.words), b.words
+    while len(live):
+        at = start[live] + k
+        _, pair = np.unique(chunk[at] * most + tf[at], return_inverse=True)
+        _, now = np.unique(out[live] * len(live) + pair, return_inverse=True)
+        out[live] = now + made
+        made, k = made + len(live), k + 1
+        live = live[b.df[live] > k]
+    return np.unique(out, return_inverse=True)[1]
+
+
+def _semantic(b: _Batch, r: Ranker) -> np.ndarray:
+    """Words' ranks. By the cosine, words that are alike have the same edges, so classes of them are ranked: a chunk of n words that are
+    nowhere else is a class or a few, not n * n / 2 edges."""
     if r.similarity is None:
-        pairs = _Pairs(b.words)
-        pairs.add_within(b.own_chunk, b.own, b.tf.astype(float))
+        of = alike(b)
+        first = np.unique(of, return_index=True)[1]  # a word of each
+        many = np.bincount(of).astype(float)
+        rows = np.flatnonzero(first[of[b.own]] == b.own) if len(b.own) else np.zeros(0, np.int64)
+        pairs = _Pairs(len(first))
+        tf = b.tf[rows].astype(float)
+        pairs.add_within(b.own_chunk[rows], of[b.own[rows]], tf)
         x, y, w = pairs.sums()
-        norm = np.sqrt(np.bincount(b.own, b.tf.astype(float) ** 2, b.words))
-        return x, y, w / (norm[x] * norm[y]) if len(w) else w
+        square = np.bincount(of[b.own[rows]], tf * tf, len(first))
+        own = np.flatnonzero(many > 1)
+        x, y, w, norm = np.concatenate([x, own]), np.concatenate([y, own]), np.concatenate([w, square[own]]), np.sqrt(square)
+        w = w / (norm[x] * norm[y])
+        near = w >= r.least
+        return _graph_ranks(b.word_doc[first], x[near], y[near], w[near], r.damping, many)[of]
+    x, y, w = _likeness(b, r)
+    near = w >= r.least
+    return _graph_ranks(b.word_doc, x[near], y[near], w[near], r.damping)
+
+
+def _likeness(b: _Batch, r: Ranker) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a document's words, by the caller's similarity."""
     found = []
     for d in range(b.docs):
         mine = np.flatnonzero(b.word_doc == d)
@@ -220,15 +268,49 @@ def _semantic(b: _Batch, r: Ranker) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _ranked(chunks: pa.Array, query: pa.Array, has: np.ndarray, lower: pa.Array, low_query: pa.Array, r: Ranker) -> np.ndarray:
-    """A score for each chunk of all documents."""
-    b = _Batch(chunks, query, has)
+def cooccurrences(b: _Batch, window: int):
+    """By distance up to `window`: the places of tokens that differ from those at this distance in their chunk, and the two words."""
+    for d in range(1, window + 1):
+        i = np.flatnonzero((b.chunk[d:] == b.chunk[:-d]) & (b.word[d:] != b.word[:-d])) if d < len(b.word) else np.zeros(0, np.int64)
+        yield d, i, b.word[i], b.word[i + d]
+
+
+def edges(b: _Batch, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of words, the first by order before the second, with the sum of 1/distance, where it reaches `least`."""
+    pairs = _Pairs(b.words)
+    for d, i, t, u in cooccurrences(b, window):
+        pairs.add(t, u, np.full(len(i), 1 / d))
+    x, y, w = pairs.sums()
+    return tuple(v[w >= least] for v in (x, y, w))
+
+
+def ranks_after(a: np.ndarray, b: np.ndarray, weight: np.ndarray, graph_of: np.ndarray, rounds: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that have an edge, and their ranks after so many rounds, each graph by itself."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = len(nodes)
+    src, dst = ends, np.concatenate([ends[len(a) :], ends[: len(a)]])
+    w = np.concatenate([weight, weight])
+    share = w / np.bincount(src, w, n)[src]
+    size = np.bincount(graph_of[nodes])[graph_of[nodes]]
+    x = 1 / np.maximum(1, size)
+    for _ in range(rounds):
+        x = damping * np.bincount(dst, x[src] * share, n) + (1 - damping) / size
+    return nodes, x
+
+
+def mean_tfidf(b: _Batch, r: Ranker) -> np.ndarray:
+    """Of each word: TF-IDF, scaled to length 1 in each chunk, averaged over all chunks."""
+    u = _unit_tfidf(b.own_chunk, b.chunks[b.word_doc[b.own]], b.df[b.own], b.tf, r)
+    return np.bincount(b.own, u, b.words) / b.chunks[b.word_doc]
+
+
+def ranked(b: _Batch, low: _Batch | None, has: np.ndarray, r: Ranker) -> np.ndarray:
+    """A score for each chunk of all documents; low has the tokens of texts in lower case, for topicrank."""
     if not len(b.doc):
         return np.zeros(0)
     if r.kind == "topicrank":
-        return _topic(b, _Batch(lower, low_query, has), has, r)
+        return _topic(b, low, has, r)
     weight, local = np.zeros(b.words), np.ones(len(b.own))
-    df = np.bincount(b.own, minlength=b.words)
     if r.kind == "singlerank":  # of the first chunk alone
         rows = np.flatnonzero(b.own_chunk == b.starts[b.doc[b.own_chunk]])
         weight[b.own[rows]] = _unit_tfidf(b.own_chunk[rows], np.ones(len(rows)), np.ones(len(rows)), b.tf[rows], r)
@@ -236,17 +318,14 @@ def _ranked(chunks: pa.Array, query: pa.Array, has: np.ndarray, lower: pa.Array,
         local = b.places(r.decay, True)
     elif r.kind == "combined":
         if r.tfidf:
-            u = _unit_tfidf(b.own_chunk, b.chunks[b.word_doc[b.own]], df[b.own], b.tf, r)
-            weight = np.bincount(b.own, u, b.words) / b.chunks[b.word_doc]
+            weight = mean_tfidf(b, r)
         if r.position:
             local = b.places(r.decay, False)
     if r.kind == "semantic":
-        x, y, w = _semantic(b, r)
+        rank = _semantic(b, r)[b.own]
     else:
         pairs = _Pairs(b.words)
-        for d in range(1, r.window + 1):
-            i = np.flatnonzero((b.chunk[d:] == b.chunk[:-d]) & (b.word[d:] != b.word[:-d])) if d < len(b.word) else np.zeros(0, np.int64)
-            t, u = b.word[i], b.word[i + d]
+        for d, i, t, u in cooccurrences(b, r.window):
             w = np.full(len(i), 1 / d)
             if r.kind == "singlerank":
                 w *= weight[t] * weight[u]
@@ -259,9 +338,9 @@ def _ranked(chunks: pa.Array, query: pa.Array, has: np.ndarray, lower: pa.Array,
                 t, u, w = (v[w >= r.least] for v in (t, u, w))  # each occurrence must reach it
             pairs.add(t, u, w)
         x, y, w = pairs.sums()
-    if r.kind in ("textrank", "semantic"):
-        x, y, w = (v[w >= r.least] for v in (x, y, w))  # the sum must reach it
-    rank = _graph_ranks(b.word_doc, x, y, w, r.damping)[b.own]
+        if r.kind == "textrank":
+            x, y, w = (v[w >= r.least] for v in (x, y, w))  # the sum must reach it
+        rank = _graph_ranks(b.word_doc, x, y, w, r.damping)[b.own]
     wanted, asked = b.wanted[b.own], has[b.doc[b.own_chunk]]
     if r.kind in ("textrank", "semantic"):
         value = rank * (~asked | wanted)
@@ -282,7 +361,8 @@ def batch_scores(chunks: pa.Array, query: pa.Array, has: pa.Array, lower: pa.Arr
     while i < len(chunks):
         j = max(i + 1, int(np.searchsorted(tokens, tokens[i] + _MOST, side="right")) - 1)
         s = slice(i, j)
-        out.append(_ranked(chunks.slice(i, j - i), query.slice(i, j - i), has[s], lower.slice(i, j - i), low_query.slice(i, j - i), r))
+        low = _Batch.nested(lower.slice(i, j - i), low_query.slice(i, j - i), has[s]) if r.kind == "topicrank" else None
+        out.append(ranked(_Batch.nested(chunks.slice(i, j - i), query.slice(i, j - i), has[s]), low, has[s], r))
         i = j
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0)))
 
@@ -295,25 +375,6 @@ def scores(chunks: list[list[str]], query: list[str], has_query: bool, r: Ranker
     return batch_scores(*tokens, pa.array([has_query]), *low, r).to_pylist()[0]
 
 
-def graph_scores(ready: DataFrame, keys: list[str], ranker: Ranker) -> DataFrame:
-    """keys, scored array<struct<idx, score, chunk>>. ready is from terms.prepared(); its other columns aren't sent to Python.
-
-    Scores are rounded to 12 places before chunks are ranked, as sums of doubles depend on their order and ties must not."""
-
-    ship(ready.sparkSession)
-
-    @F.arrow_udf("array<double>")
-    def run(chunks: pa.Array, query: pa.Array, has: pa.Array, lower: pa.Array, low_query: pa.Array) -> pa.Array:
-        return batch_scores(chunks, query, has, lower, low_query, ranker)
-
-    topic = ranker.kind == "topicrank"
-    none = F.array().cast("array<array<string>>")
-    lower = F.col("lower_tokens") if topic else none
-    low_query = F.col("lower_query") if topic else F.array().cast("array<string>")
-    d = ready.withColumn("scores", run("chunk_tokens", "query_tokens", "has_query", lower, low_query))
-    return d.select(*keys, F.zip_with(F.transform("chunks", lambda c, i: F.struct(i.alias("idx"), c.alias("chunk"))), "scores", lambda c, s: F.struct(c["idx"].alias("idx"), F.round(s, 12).alias("score"), c["chunk"].alias("chunk"))).alias("scored"))
-
-
 def pagerank_rounds(edges: DataFrame, keys: list[str], rounds: int = 10, damping: float = 0.85, cut: int = 5) -> DataFrame:
     """keys, token, rank: PageRank of every document's graph at once, a fixed number of rounds, for graphs too large for one task.
 

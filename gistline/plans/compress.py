@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import OVERLAP, with_chunks
+from ..functions.cutting import Cut
 from ..functions.stopwords import ENGLISH
 from ..functions.text import ENDINGS, tokens
-from ..operators import graph, scoring, selection
+from ..operators import scoring, selection
 from ..operators.graph import Ranker
 from ..operators.terms import prepared
 from ..sources.files import PARTS, with_parts
@@ -67,6 +68,11 @@ class Options:
         """Combined scorers skip what doesn't fit, and join both selections; the others stop at it."""
         return self.method in COMBINED or self.method == "combined"
 
+    @property
+    def cut(self) -> Cut | None:
+        """How texts are cut on the way to their scores; None with a caller's chunker or tokeniser, which are expressions."""
+        return None if self.chunker or self.tokenizer else Cut(self.chunk_length, self.overlap, self.endings, self.pdf, frozenset(self.stopwords))
+
     @property
     def ranker(self) -> Ranker:
         flags = COMBINED.get(self.method, (self.use_tfidf, self.use_position))
@@ -89,16 +95,21 @@ def chunked(docs: DataFrame, o: Options, query: str | None = None) -> DataFrame:
     return d
 
 
-def scored(docs: DataFrame, o: Options, query: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, n_chars, scored array<struct<idx, score, chunk>>, for documents that have a chunk."""
+def scored(docs: DataFrame, o: Options, query: str | None = None, keys: tuple[str, ...] = ("doc_id",), texts: bool = True) -> DataFrame:
+    """keys, text_length, scored array<struct<idx, score, chunk>>, for documents that have a chunk. Without texts, chunk may be null."""
     keys = [*keys, "text_length"]
-    some = docs.filter(F.col("text").rlike(r"(?U)\S"))  # a filter on chunks would be pushed below, and copy all their expressions
-    ready = chunked(some.withColumn("text_length", F.length("text")), o, query)
+    d = docs.filter(F.col("text").rlike(r"(?U)\S")).withColumn("text_length", F.length("text"))
+    if o.cut:
+        d = d.select(*dict.fromkeys([*keys, "text", *([query] if query else [])]))
+    how = {"cut": o.cut, "query": query, "texts": texts} if o.cut else {}
+    if o.method in ("bm25", "tfidf"):
+        d = d.repartition(*keys[:-1])  # texts alone, so that however files are cut up, the work is even
+    ready = d if o.cut else chunked(d, o, query)
     if o.method == "bm25":
-        return scoring.bm25(ready, keys, o.k1, o.b)
+        return scoring.bm25(ready, keys, o.k1, o.b, **how)
     if o.method == "tfidf":
-        return scoring.tfidf(ready, keys)
-    return graph.graph_scores(ready, keys, o.ranker)
+        return scoring.tfidf(ready, keys, **how)
+    return scoring.graph_scores(ready, keys, o.ranker, **how)
 
 
 def picked(o: Options) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .functions import text as T
 from .functions.chunking import each, with_chunks
 from .functions.instrument import usage
 from .functions.stopwords import ENGLISH
-from .operators import graph, selection, terms
+from .operators import selection, terms
 from .operators.running import running_total
-from .plans.compress import DEDICATED, Options, assembled, batch, chunked, compress, compress_both, scored
+from .plans.compress import DEDICATED, Options, assembled, batch, compress, compress_both, scored
 from .sources.files import tokens_without, with_parts
 from .sources.tables import spread
 
@@ -34,8 +37,7 @@ def _asked(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).crossJoin(F.broadcast(size)).join(items, F.pmod("doc_id", "items") == F.col("item_id")).select("doc_id", "text", "query")
 
 
-def _ready(spark, sf_dir, method="bm25") -> DataFrame:
-    return chunked(_docs(spark, sf_dir), Options(method, topn=5, chunk_length=SMALL))
+CUT = Options("bm25", topn=5, chunk_length=SMALL).cut
 
 
 def _rows(scored_: DataFrame) -> DataFrame:
@@ -111,43 +113,40 @@ def highlight_html(spark, sf_dir):
 
 
 def term_frequency(spark, sf_dir):
-    return terms.chunk_terms(_ready(spark, sf_dir), KEY).filter("token is not null").select("doc_id", "chunk_idx", "token", "tf")
+    return terms.chunk_terms(_docs(spark, sf_dir), KEY, CUT)
 
 
 def document_frequency(spark, sf_dir):
-    t = terms.chunk_terms(_ready(spark, sf_dir), KEY).filter("token is not null")
-    return t.groupBy("doc_id", "token").agg(F.count("*").alias("df"))
+    return terms.document_terms(_docs(spark, sf_dir), KEY, CUT)
 
 
 def chunk_length_mean(spark, sf_dir):
-    t = _ready(spark, sf_dir).select("doc_id", F.explode(each("chunk_tokens")).alias("ts"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.size("ts")), 6).alias("avg_tokens"))
+    return terms.chunk_lengths(_docs(spark, sf_dir), KEY, CUT).withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
 def vocabulary(spark, sf_dir):
-    return _ready(spark, sf_dir).select("doc_id", F.size(F.array_distinct(F.flatten("chunk_tokens"))).alias("n_distinct"))
+    return terms.vocabulary(_docs(spark, sf_dir), KEY, CUT)
 
 
 def query_overlap(spark, sf_dir):
     """Distinct tokens that a chunk shares with its document's query."""
-    d = chunked(_asked(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL), "query")
-    return d.select("doc_id", F.posexplode(each("chunk_tokens")).alias("chunk_idx", "ts"), "query_tokens").select("doc_id", "chunk_idx", F.size(F.array_intersect("ts", "query_tokens")).alias("shared"))
+    return terms.query_overlap(_asked(spark, sf_dir), KEY, CUT, "query")
 
 
 def bm25_query(spark, sf_dir):
-    return _rows(scored(_asked(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL), "query"))
+    return _rows(scored(_asked(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL), "query", texts=False))
 
 
 def bm25_noquery(spark, sf_dir):
-    return _rows(scored(_docs(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL)))
+    return _rows(scored(_docs(spark, sf_dir), Options("bm25", topn=5, chunk_length=SMALL), texts=False))
 
 
 def tfidf_query(spark, sf_dir):
-    return _rows(scored(_asked(spark, sf_dir), Options("tfidf", topn=5, chunk_length=SMALL), "query"))
+    return _rows(scored(_asked(spark, sf_dir), Options("tfidf", topn=5, chunk_length=SMALL), "query", texts=False))
 
 
 def tfidf_noquery(spark, sf_dir):
-    return _rows(scored(_docs(spark, sf_dir), Options("tfidf", topn=5, chunk_length=SMALL)))
+    return _rows(scored(_docs(spark, sf_dir), Options("tfidf", topn=5, chunk_length=SMALL), texts=False))
 
 
 def _selected(pick):
@@ -182,29 +181,28 @@ def compress_both_ways(spark, sf_dir):
 
 
 def cooc_edges(spark, sf_dir):
-    return terms.cooccurrence(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
+    return terms.cooccurrence(_docs(spark, sf_dir), KEY, cut=CUT).withColumn("weight", F.round("weight", 9))
 
 
 def position_weights_first(spark, sf_dir):
-    return terms.first_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
+    return terms.first_position_weights(_docs(spark, sf_dir), KEY, cut=CUT).withColumn("weight", F.round("weight", 9))
 
 
 def position_weights_each(spark, sf_dir):
-    return terms.each_position_weights(_ready(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 9))
+    return terms.each_position_weights(_docs(spark, sf_dir), KEY, cut=CUT).withColumn("weight", F.round("weight", 9))
 
 
 def tfidf_mean(spark, sf_dir):
-    return terms.mean_tfidf(terms.chunk_terms(_ready(spark, sf_dir), KEY), KEY).withColumn("weight", F.round("weight", 9))
+    return terms.mean_tfidf(_docs(spark, sf_dir), KEY, CUT).withColumn("weight", F.round("weight", 9))
 
 
 def pagerank_fixed(spark, sf_dir):
-    edges = terms.cooccurrence(_ready(spark, sf_dir), KEY)
-    return graph.pagerank_rounds(edges, KEY).withColumn("rank", F.round("rank", 8))
+    return terms.cooccurrence_ranks(_docs(spark, sf_dir), KEY, cut=CUT).withColumn("rank", F.round("rank", 8))
 
 
 def _ranked(method):
     def run(spark, sf_dir):
-        return _rows(scored(_asked(spark, sf_dir), Options(method, topn=5, chunk_length=SMALL), "query"))
+        return _rows(scored(_asked(spark, sf_dir), Options(method, topn=5, chunk_length=SMALL), "query", texts=False))
 
     return run
 
@@ -212,10 +210,12 @@ def _ranked(method):
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def letters(text) -> Column:
+@F.arrow_udf(ArrayType(DoubleType()))
+def letters(texts: pa.Array) -> pa.Array:
     """A vector of a text without a model: how often each letter occurs."""
-    low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+    low = [(t or "").lower() for t in texts.to_pylist()]
+    counts = np.array([[float(t.count(x)) for x in LETTERS] for t in low]).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * len(LETTERS)), pa.array(counts))
 
 
 def query_similarity(spark, sf_dir):
