@@ -11,8 +11,8 @@ from gistline.functions import chunking, cutting
 from gistline.functions import text as T
 from gistline.operators import graph, scoring, terms
 from gistline.operators.graph import Ranker, scores
-from gistline.operators.local import _cut
-from gistline.queries import QUERIES
+from gistline.operators.local import Docs, _cut
+from gistline.queries import QUERIES, letters
 from gistline.scratch import mark
 
 SF = "/root/testdata/sf0.001"
@@ -60,29 +60,31 @@ def test_tokens_of_chunks_are_the_chunks_texts_tokens():
     assert [d.low.names[x] for x in d.low.code[d.low.word]] == [w for t in docs for c in cutting.Chunks([t], cut).texts() for w in cutting.tokens(c.lower())]
 
 
-def exchanges(spark, name: str) -> list[str]:
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+def plan_of(spark, name: str) -> str:
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-#: Queries whose results are a document's own: no exchange by key.
-ALONE = ["pagerank_fixed"]
-#: Queries that exchange texts, as they are read, and no tokens.
-EVEN = []
+#: Queries whose results are a document's own: no exchange by key, no table on the way, no interpreted fold over segments.
+ALONE = [
+    "pagerank_fixed",
+    "semantic_textrank",
+]
+#: Queries that exchange texts, as they are read, and no chunks or tokens.
+EVEN = [
+]
 
 
 @pytest.mark.parametrize("name", ALONE)
 def test_no_exchange_by_key_or_table(spark, name):
-    before = mark(spark)
-    assert exchanges(spark, name) == [] and mark(spark) == before
+    before, plan = mark(spark), plan_of(spark, name)
+    assert "Exchange hashpartitioning" not in plan and "aggregate(" not in plan and mark(spark) == before
 
 
 @pytest.mark.parametrize("name", EVEN)
 def test_tokens_are_not_exchanged(spark, name):
-    found = exchanges(spark, name)
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("MapInArrow") :]  # what is sent to Python, and what was exchanged before
-    assert found and below.count("Exchange hashpartitioning") == len(found) and "transform(" not in below.replace("transform(split(", "")
+    plan = plan_of(spark, name)
+    above, below = plan.split("MapInArrow", 1)
+    assert "Exchange" not in above and "Exchange hashpartitioning" in below and "aggregate(" not in below
 
 
 def test_ranks_of_each_document_as_of_all_at_once(spark):
@@ -92,3 +94,31 @@ def test_ranks_of_each_document_as_of_all_at_once(spark):
     want = {(r.doc_id, r.token): r["rank"] for r in rounds.collect()}
     got = {(r.doc_id, r.token): r["rank"] for r in terms.cooccurrence_ranks(d, ["doc_id"], cut=cut).collect()}
     assert want.keys() == got.keys() and np.allclose([want[k] for k in want], [got[k] for k in want])
+
+
+def test_words_that_are_alike_are_one_node(spark, monkeypatch):
+    edges = []
+    real = graph.pageranks
+    monkeypatch.setattr(graph, "pageranks", lambda g, a, *x, **k: edges.append(len(a)) or real(g, a, *x, **k))
+    assert scores([[f"w{i}" for i in range(3000)]], [], False, Ranker("semantic"))[0] == pytest.approx(1) and edges == [1]
+    cosine = lambda m: (m @ m.T) / np.sqrt((m * m).sum(1))[:, None] / np.sqrt((m * m).sum(1))[None]
+    r = random.Random(3)
+    for _ in range(20):
+        chunks = [[f"w{r.randrange(12)}" for _ in range(r.randrange(6))] + [f"only{k}{i}" for i in range(r.randrange(4))] for k in range(r.randrange(1, 6))]
+        assert np.allclose(scores(chunks, [], False, Ranker("semantic")), scores(chunks, [], False, Ranker("semantic", similarity=cosine)))
+
+
+def test_chunks_of_the_same_terms_tie(spark):
+    r = np.random.default_rng(1)
+    value = r.random(19) * 3
+    names = [[f"{x}{i:02d}" for i in range(19)] for x in "ab"]
+    weight = dict(zip(names[0], value)) | dict(zip(names[1], value[r.permutation(19)]))
+    b = graph._Batch.nested(pa.array([names]), pa.array([[]], pa.list_(pa.string())), np.array([False]))
+    got = scoring._sums(lambda t, doc: np.array([weight[t.names[c]] for c in t.code[t.own]]))(Docs(b, None, np.array([False]), None))
+    assert got[0] == got[1]
+    assert scoring.rounded(np.array([0.5, -1.5, 2.25]), 0).tolist() == [1.0, -2.0, 2.0]
+
+
+def test_letters_are_counted(spark):
+    d = spark.createDataFrame([("Banana!",), ("",)], "t string").select(letters("t").alias("v")).collect()
+    assert d[0].v[:2] == [3.0, 1.0] and sum(d[0].v) == 6 and d[1].v == [0.0] * 26
