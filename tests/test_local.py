@@ -68,6 +68,7 @@ def plan_of(spark, name: str) -> str:
 ALONE = [
     "pagerank_fixed",
     "semantic_textrank",
+    "document_frequency",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
