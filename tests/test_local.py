@@ -69,6 +69,7 @@ ALONE = [
     "pagerank_fixed",
     "semantic_textrank",
     "document_frequency",
+    "term_frequency",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
