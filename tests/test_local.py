@@ -70,6 +70,7 @@ ALONE = [
     "semantic_textrank",
     "document_frequency",
     "term_frequency",
+    "tfidf_mean",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
