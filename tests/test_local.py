@@ -74,6 +74,7 @@ ALONE = [
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
+    "select_topn",
 ]
 
 
