@@ -75,6 +75,7 @@ ALONE = [
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
     "select_topn",
+    "query_similarity",
 ]
 
 
