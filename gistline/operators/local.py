@@ -11,13 +11,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..functions.cutting import Chunks, Cut, numbered, tokens
+from ..functions.cutting import Chunks, Cut, tokens
 from ..ship import ship
 from .graph import _Batch, _flat
 
-_CHARACTERS = 1 << 20  # of documents that are taken at once, or one longer document
+_CHARACTERS = 1 << 20  # bytes of documents that are taken at once, or one longer document
 _ROWS = 1 << 17  # of results in a batch
 
 
@@ -36,9 +37,11 @@ def _asked(query: str, stopwords: frozenset[str]) -> list[str]:
 def _numbers(chunks: Chunks, cut: Cut, queries: list[str], has: np.ndarray, lower: bool) -> _Batch:
     names, code, begin = chunks.tokens(cut, lower)
     asked = [_asked(q.lower() if lower else q, cut.stopwords) for q in queries]
-    more, query_code = numbered([w for q in asked for w in q])
-    all_, place = numbered(names + more)
-    code, query_code = place[: len(names)][code] if len(code) else code, place[len(names) :][query_code] if len(query_code) else query_code
+    all_, query_code = names, np.zeros(0, np.int64)
+    if any(asked):  # a query's other words come last; no chunk has them
+        place = {w: i for i, w in enumerate(names)}
+        query_code = np.array([place.setdefault(w, len(place)) for q in asked for w in q], np.int64)
+        all_ = list(place)
     first, last = begin[chunks.ranges[:, 0]], begin[chunks.ranges[:, 1] + 1]
     size = last - first
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
@@ -86,9 +89,10 @@ def rows(df: DataFrame, keys: list[str], results: str, run: Callable[[Docs], tup
         for b in batches:
             if cut:
                 text, asked = b["text"], b[query] if query else pa.nulls(len(b), pa.string())
-                weight = np.array([len(t or "") for t in text.to_pylist()], np.int64)
+                weight = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             else:
-                weight = np.array([sum(len(c or ()) for c in cs or ()) * 6 for cs in b["chunk_tokens"].to_pylist()], np.int64)
+                upto = np.concatenate([[0], np.cumsum(_flat(b["chunk_tokens"].flatten()))])
+                weight = 6 * np.diff(upto[np.concatenate([[0], np.cumsum(_flat(b["chunk_tokens"]))])])
             for i, j in _slices(weight):
                 part = b.slice(i, j - i)
                 docs = _cut(text.slice(i, j - i).to_pylist(), asked.slice(i, j - i).to_pylist(), cut, lower) if cut else _given(part, lower)

@@ -71,6 +71,7 @@ ALONE = [
     "document_frequency",
     "term_frequency",
     "tfidf_mean",
+    "cooc_edges",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
