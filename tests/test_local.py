@@ -77,6 +77,7 @@ ALONE = [
 EVEN = [
     "select_topn",
     "query_similarity",
+    "bm25_noquery",
 ]
 
 
