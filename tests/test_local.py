@@ -78,6 +78,7 @@ EVEN = [
     "select_topn",
     "query_similarity",
     "bm25_noquery",
+    "select_stop",
 ]
 
 
