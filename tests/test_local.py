@@ -79,6 +79,7 @@ EVEN = [
     "query_similarity",
     "bm25_noquery",
     "select_stop",
+    "select_both",
 ]
 
 
