@@ -80,6 +80,7 @@ EVEN = [
     "bm25_noquery",
     "select_stop",
     "select_both",
+    "tfidf_noquery",
 ]
 
 
