@@ -81,6 +81,7 @@ EVEN = [
     "select_stop",
     "select_both",
     "tfidf_noquery",
+    "select_skip",
 ]
 
 
