@@ -72,6 +72,7 @@ ALONE = [
     "term_frequency",
     "tfidf_mean",
     "cooc_edges",
+    "position_weights_first",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
