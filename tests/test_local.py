@@ -73,6 +73,7 @@ ALONE = [
     "tfidf_mean",
     "cooc_edges",
     "position_weights_first",
+    "textrank",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
