@@ -74,6 +74,7 @@ ALONE = [
     "cooc_edges",
     "position_weights_first",
     "textrank",
+    "position_weights_each",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
