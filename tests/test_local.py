@@ -75,6 +75,7 @@ ALONE = [
     "position_weights_first",
     "textrank",
     "position_weights_each",
+    "combined_tt",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
