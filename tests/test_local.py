@@ -86,6 +86,7 @@ EVEN = [
     "select_both",
     "tfidf_noquery",
     "select_skip",
+    "bm25_query",
 ]
 
 
