@@ -76,6 +76,7 @@ ALONE = [
     "textrank",
     "position_weights_each",
     "combined_tt",
+    "positionrank",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
