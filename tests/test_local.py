@@ -77,6 +77,7 @@ ALONE = [
     "position_weights_each",
     "combined_tt",
     "positionrank",
+    "combined_ff",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
