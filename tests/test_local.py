@@ -89,6 +89,7 @@ EVEN = [
     "tfidf_noquery",
     "select_skip",
     "bm25_query",
+    "tfidf_query",
 ]
 
 
