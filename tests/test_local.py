@@ -78,6 +78,7 @@ ALONE = [
     "combined_tt",
     "positionrank",
     "combined_ff",
+    "query_overlap",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
