@@ -79,6 +79,7 @@ ALONE = [
     "positionrank",
     "combined_ff",
     "query_overlap",
+    "singlerank",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
