@@ -92,6 +92,7 @@ EVEN = [
     "select_skip",
     "bm25_query",
     "tfidf_query",
+    "compress_both_ways",
 ]
 
 
