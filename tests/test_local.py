@@ -80,6 +80,7 @@ ALONE = [
     "combined_ff",
     "query_overlap",
     "singlerank",
+    "topicrank",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
