@@ -81,6 +81,7 @@ ALONE = [
     "query_overlap",
     "singlerank",
     "topicrank",
+    "vocabulary",
 ]
 #: Queries that exchange texts, as they are read, and no chunks or tokens.
 EVEN = [
